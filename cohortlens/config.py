@@ -23,6 +23,7 @@ def recommended_conf(shuffle_partitions: int | None = None) -> dict[str, str]:
         "spark.sql.adaptive.localShuffleReader.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)

@@ -73,6 +73,18 @@ def exploded_elite_years(dated_with_elite: DataFrame) -> DataFrame:
     return kept.select("*", F.explode("elites").alias("new_elite"))
 
 
+def min_text(values: F.Column) -> F.Column:
+    """Aggregate: smallest string of a group. ``min`` on strings plans a sort-based
+    aggregate; the set of distinct values (a handful of status years) is a hash
+    aggregate with a bounded buffer and map-side combine, and its minimum is the same."""
+    return F.array_min(F.collect_set(values))
+
+
+def compat_status_holders(user_years: DataFrame) -> DataFrame:
+    """The notebook's status filter on users: list not empty, field not the sentinel."""
+    return user_years.filter((F.size("elites") >= 1) & (F.col("elite") != NO_STATUS))
+
+
 def first_elite_year_compat(dated_with_elite: DataFrame) -> DataFrame:
     """The notebook's minimum year grouped by (Category, length_of_review, date):
     users sharing those three are merged and the earliest year among them wins.
@@ -82,7 +94,7 @@ def first_elite_year_compat(dated_with_elite: DataFrame) -> DataFrame:
     """
     kept = dated_with_elite.filter((F.size("elites") >= 1) & (F.col("elite") != NO_STATUS))
     return kept.groupBy("Category", "length_of_review", "date").agg(
-        F.min(F.array_min("elites")).alias("new_elites")
+        min_text(F.array_min("elites")).alias("new_elites")
     )
 
 

@@ -1,27 +1,55 @@
 """Join sides: broadcast only what has been counted small.
 
-``sized_broadcast`` runs a bounded count (``limit(n + 1).count()``: every task stops
-after ``n + 1`` rows) and marks the side for broadcast only when it holds at most
-``max_rows`` rows. Otherwise the side is returned as is and the planner keeps a
-shuffled join, which adaptive execution may still turn into a broadcast once the
-shuffle has measured it, or split when one key is hot.
+A side is broadcast only after a bounded count (``limit(n + 1)``: every task stops
+after ``n + 1`` rows) has shown it holds at most ``n`` rows, or when its size
+follows from sides already counted (a summary keyed by a counted category set and
+a fixed set of cohorts). Otherwise the side is left to the planner: a shuffled
+join, which adaptive execution may turn into a broadcast once the shuffle has
+measured it, or split when one key is hot.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Row bounds for the sides we broadcast. With the narrow rows used here
-# (a key and one or two short columns) 2M rows stay well under 100 MB.
+# Row bounds for broadcast sides. Rows here are narrow (a key and one or two short
+# columns), so 2M rows stay well under 100 MB.
 DIMENSION_ROWS = 2_000_000
+# Category titles: real taxonomies hold a few thousand; summaries keyed by
+# (cohort, category) then stay under a few MB.
+TITLE_ROWS = 100_000
+
+JoinSide = Callable[[DataFrame], DataFrame]
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def rows_at_most(frames: dict[str, tuple[DataFrame, int]]) -> dict[str, bool]:
+    """Bounded counts of several frames in one job: ``{name: rows <= bound}``."""
+    if not frames:
+        return {}
+    parts = [
+        df.limit(bound + 1)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.lit(name).alias("side"), F.lit(bound).cast("long").alias("bound"), "n")
+        for name, (df, bound) in frames.items()
+    ]
+    rows = reduce(DataFrame.unionByName, parts).collect()
+    return {r["side"]: r["n"] <= r["bound"] for r in rows}
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if a bounded count shows at most ``max_rows`` rows."""
     if max_rows > 0 and row_count_at_most(df, max_rows):
         return F.broadcast(df)
     return df
+
+
+def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from cohortlens.functions.columns import text_length, year_number, year_text
 
 
+def length_column(reviews: DataFrame) -> F.Column:
+    """The review measure. A frame may carry it precomputed as ``length_of_review``
+    (equal to the length of its text) when texts are shared between rows and are
+    cheaper to measure where they are stored; otherwise it is taken from ``text``."""
+    if "length_of_review" in reviews.columns:
+        return F.col("length_of_review").cast("long")
+    return text_length("text")
+
+
 def review_lengths(reviews: DataFrame) -> DataFrame:
     """One row per distinct (user_id, date, business_id, review_id, length_of_review).
 
@@ -16,7 +25,7 @@ def review_lengths(reviews: DataFrame) -> DataFrame:
     shuffle; the deduplication key is the ids plus the length.
     """
     return reviews.select(
-        "user_id", "date", "business_id", "review_id", text_length("text").alias("length_of_review")
+        "user_id", "date", "business_id", "review_id", length_column(reviews).alias("length_of_review")
     ).distinct()
 
 

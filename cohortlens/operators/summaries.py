@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import ELITE, NON_ELITE
-from cohortlens.operators.joins import sized_broadcast
+from cohortlens.operators.joins import JoinSide, sized_broadcast
 
 QUARTILES = [0.25, 0.5, 0.75]
 WHISKER = 1.5
@@ -25,6 +25,10 @@ WHISKER = 1.5
 SUMMARY_ROWS = 1_000_000
 
 
+def _summary_side(summary: DataFrame) -> DataFrame:
+    return sized_broadcast(summary, SUMMARY_ROWS)
+
+
 def mean_and_count(
     rows: DataFrame,
     keys: Sequence[str],
@@ -113,13 +117,15 @@ def flag_outliers(
     summary: DataFrame,
     keys: Sequence[str],
     measure: str = "length_of_review",
+    join_side: JoinSide = _summary_side,
 ) -> DataFrame:
     """Rows outside their group's whisker fences, with ``side`` 'high' or 'low'.
 
-    The summary has one row per group and is counted before it is broadcast.
+    The summary has one row per group; ``join_side`` decides whether it is
+    broadcast (by default after a bounded count).
     """
     fences = summary.select(*keys, "lower_fence", "upper_fence")
-    joined = rows.join(sized_broadcast(fences, SUMMARY_ROWS), list(keys))
+    joined = rows.join(join_side(fences), list(keys))
     m = F.col(measure)
     side = F.when(m > F.col("upper_fence"), F.lit("high")).when(
         m < F.col("lower_fence"), F.lit("low")
@@ -136,13 +142,14 @@ def share_above_reference_q3(
     cohort_key: str,
     reference_cohort: str,
     measure: str = "length_of_review",
+    join_side: JoinSide = _summary_side,
 ) -> DataFrame:
     """Per (group, cohort): rows, rows above the reference cohort's Q3 in the same
     group, and their share."""
     ref = summary.filter(F.col(cohort_key) == reference_cohort).select(
         group_key, F.col("q3").alias("reference_q3")
     )
-    joined = rows.filter(F.col(measure).isNotNull()).join(sized_broadcast(ref, SUMMARY_ROWS), group_key)
+    joined = rows.filter(F.col(measure).isNotNull()).join(join_side(ref), group_key)
     above = F.when(F.col(measure) > F.col("reference_q3"), 1).otherwise(0)
     return joined.groupBy(group_key, cohort_key).agg(
         F.count(F.lit(1)).alias("n"),
@@ -200,6 +207,7 @@ def promising_users(
     reference_cohort: str = NON_ELITE,
     user_key: str = "user_id",
     measure: str = "length_of_review",
+    join_side: JoinSide = _summary_side,
 ) -> DataFrame:
     """Users of ``candidate_cohort`` with reviews above the reference cohort's Q3 in
     a group, counted per (user, group); ``tier`` is 'beyond_whisker' when at least
@@ -211,9 +219,7 @@ def promising_users(
     ref = summary.filter(F.col(cohort_key) == reference_cohort).select(
         group_key, "q3", "upper_fence"
     )
-    cand = rows.filter(F.col(cohort_key) == candidate_cohort).join(
-        sized_broadcast(ref, SUMMARY_ROWS), group_key
-    )
+    cand = rows.filter(F.col(cohort_key) == candidate_cohort).join(join_side(ref), group_key)
     above = cand.filter(F.col(measure) > F.col("q3"))
     beyond = F.when(F.col(measure) > F.col("upper_fence"), 1).otherwise(0)
     per_user = above.groupBy(user_key, group_key).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import split_list
-from cohortlens.operators.joins import sized_broadcast
+from cohortlens.operators.joins import TITLE_ROWS, JoinSide, sized_broadcast
 
 
 def top_level_taxonomy(taxonomy: DataFrame) -> DataFrame:
@@ -36,14 +36,21 @@ def business_category_list(business: DataFrame) -> DataFrame:
     )
 
 
-def business_top_level(business_lists: DataFrame, titles: DataFrame) -> DataFrame:
+def _titles_side(titles: DataFrame) -> DataFrame:
+    return sized_broadcast(titles, TITLE_ROWS)
+
+
+def business_top_level(
+    business_lists: DataFrame, titles: DataFrame, join_side: JoinSide = _titles_side
+) -> DataFrame:
     """(Category, business_id) for every top-level title found in a business's list.
 
     The notebook joins on ``array_contains(catList, Category)``, a theta join Spark
     plans as a nested loop. Here each list is exploded once (deduplicated first, as
-    ``array_contains`` is a predicate) and equi-joined to the counted-small title set.
+    ``array_contains`` is a predicate) and equi-joined to the title set, broadcast
+    when counted small (``join_side`` decides; by default a bounded count).
     """
     entries = business_lists.select(
         "business_id", F.explode(F.array_distinct("catList")).alias("Category")
     )
-    return entries.join(sized_broadcast(titles), "Category").select("Category", "business_id")
+    return entries.join(join_side(titles), "Category").select("Category", "business_id")

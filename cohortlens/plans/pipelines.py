@@ -18,6 +18,10 @@ summaries):
 
 Steps 3 and 5 broadcast a side only after counting it under a bound; otherwise they
 stay shuffled joins under adaptive execution (runtime broadcast, skew splitting).
+All data-dependent sides (titles, business -> category, user status, first status
+year) are counted together in one bounded job, the first time any is needed.
+Summaries keyed by (cohort, category) are bounded by the counted title set times the
+fixed cohorts, so they are broadcast on that proof without a count of their own.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import NON_ELITE, pre_post_label, year_number
 from cohortlens.operators import cohorts, measures, summaries, taxonomy
-from cohortlens.operators.joins import sized_broadcast
+from cohortlens.operators.joins import DIMENSION_ROWS, TITLE_ROWS, broadcast_if, rows_at_most
 from cohortlens.schemas import check_schema
 
 Q2_LABEL = "new_filtered_elites"
@@ -64,14 +68,42 @@ class CohortAnalysis:
     def business_category_list(self) -> DataFrame:
         return taxonomy.business_category_list(self.business)
 
+    # -- join sides -------------------------------------------------------------------
+
+    @cached_property
+    def _small(self) -> dict[str, bool]:
+        """Which data-dependent join sides are small enough to broadcast (one job)."""
+        plain_top = taxonomy.business_top_level(
+            self.business_category_list, self.top_level_titles, join_side=lambda t: t
+        )
+        return rows_at_most(
+            {
+                "titles": (self.top_level_titles, TITLE_ROWS),
+                "business_top": (plain_top, DIMENSION_ROWS),
+                "status": (self.user.select("user_id"), DIMENSION_ROWS),
+                "first_year": (self.first_elite_year, DIMENSION_ROWS),
+            }
+        )
+
+    def _titles_side(self, titles: DataFrame) -> DataFrame:
+        return broadcast_if(titles, self._small["titles"])
+
+    def _summary_side(self, summary: DataFrame) -> DataFrame:
+        # Rows <= cohorts x titles, and the titles were counted under TITLE_ROWS.
+        return broadcast_if(summary, self._small["titles"])
+
     @cached_property
     def business_top_level(self) -> DataFrame:
-        return taxonomy.business_top_level(self.business_category_list, self.top_level_titles)
+        return taxonomy.business_top_level(
+            self.business_category_list, self.top_level_titles, join_side=self._titles_side
+        )
 
     @cached_property
     def _business_top_side(self) -> DataFrame:
         """(business_id, Category) as a join side, broadcast when counted small."""
-        return sized_broadcast(self.business_top_level.select("business_id", "Category"))
+        return broadcast_if(
+            self.business_top_level.select("business_id", "Category"), self._small["business_top"]
+        )
 
     # -- reviews -----------------------------------------------------------------
 
@@ -106,15 +138,13 @@ class CohortAnalysis:
         return cohorts.elite_users(self.user_elite_years)
 
     def _status_side(self, compat: bool = False) -> DataFrame:
-        """(user_id, elite, status) as a join side, broadcast when counted small."""
-        key = f"_status_side_{compat}"
-        if key not in self.__dict__:
-            self.__dict__[key] = sized_broadcast(cohorts.user_status(self.user, compat))
-        return self.__dict__[key]
+        """(user_id, elite, status) as a join side, broadcast when counted small
+        (one row per user, so the user count bounds it)."""
+        return broadcast_if(cohorts.user_status(self.user, compat), self._small["status"])
 
     @cached_property
     def _first_year_side(self) -> DataFrame:
-        return sized_broadcast(cohorts.first_elite_year(self.user_elite_years))
+        return broadcast_if(self.first_elite_year, self._small["first_year"])
 
     # -- question 1: status holders against the others ---------------------------
 
@@ -134,8 +164,12 @@ class CohortAnalysis:
         rows = self.review_lengths
         if compat:
             # (user, business, category, length) distinct == (user, business, length)
-            # distinct times the business's category set; deduplicate before the fan-out.
-            rows = rows.select("user_id", "business_id", "length_of_review").distinct()
+            # distinct times the business's category set: deduplicate before the
+            # fan-out, straight from the reviews (the finer review-level dedupe
+            # would be subsumed by this one).
+            rows = self.review.select(
+                "user_id", "business_id", measures.length_column(self.review).alias("length_of_review")
+            ).distinct()
         with_status = rows.join(self._status_side(compat), "user_id")
         return summaries.partial_sums(with_status, ["business_id", "status"])
 
@@ -237,7 +271,32 @@ class CohortAnalysis:
 
     @cached_property
     def first_elite_year_compat(self) -> DataFrame:
-        return cohorts.first_elite_year_compat(self.dated_reviews_with_elite)
+        """Same rows as ``cohorts.first_elite_year_compat(dated_reviews_with_elite)``.
+
+        A minimum does not change under deduplication, so the review and
+        (user, business, date, category, length) dedupes are skipped, and the minimum
+        is taken per (business, length, date) before the category fan-out, then
+        finished per (Category, length, date).
+        """
+        holders = cohorts.compat_status_holders(self.user_elite_years).select(
+            "user_id", F.array_min("elites").alias("_first")
+        )
+        holders = broadcast_if(holders, self._small["status"])
+        rows = self.review.select(
+            "user_id",
+            "business_id",
+            "date",
+            measures.length_column(self.review).alias("length_of_review"),
+        )
+        per_business = (
+            rows.join(holders, "user_id")
+            .groupBy("business_id", "length_of_review", "date")
+            .agg(cohorts.min_text(F.col("_first")).alias("_first"))
+        )
+        tagged = per_business.join(self._business_top_side, "business_id")
+        return tagged.groupBy("Category", "length_of_review", "date").agg(
+            cohorts.min_text(F.col("_first")).alias("new_elites")
+        )
 
     @cached_property
     def pre_post_labels_compat(self) -> DataFrame:
@@ -262,12 +321,18 @@ class CohortAnalysis:
             ),
             self.q1_box_summary,
             ["status", "Category"],
+            join_side=self._summary_side,
         )
 
     @cached_property
     def share_above_q3(self) -> DataFrame:
         return summaries.share_above_reference_q3(
-            self.q1_box_rows, self.q1_box_summary, "Category", "status", NON_ELITE
+            self.q1_box_rows,
+            self.q1_box_summary,
+            "Category",
+            "status",
+            NON_ELITE,
+            join_side=self._summary_side,
         )
 
     def category_gap(self, min_count: int = 0) -> DataFrame:
@@ -279,7 +344,7 @@ class CohortAnalysis:
     @cached_property
     def potential_elite_candidates(self) -> DataFrame:
         rows = self.reviews_with_status.select("user_id", "Category", "status", "length_of_review")
-        return summaries.promising_users(rows, self.q1_box_summary)
+        return summaries.promising_users(rows, self.q1_box_summary, join_side=self._summary_side)
 
     # -- row counts of every stage, in one job ----------------------------------------
 

@@ -52,7 +52,7 @@ _STR = (T.StringType,)
 # Column -> accepted Spark type classes, per input.
 REQUIRED = {
     "business": {"business_id": _ID, "categories": _STR},
-    "review": {"review_id": _ID, "user_id": _ID, "business_id": _ID, "date": _STR, "text": _STR},
+    "review": {"review_id": _ID, "user_id": _ID, "business_id": _ID, "date": _STR},
     "user": {"user_id": _ID, "elite": _STR},
     "taxonomy": {"alias": _STR, "title": _STR, "parents": (T.ArrayType,)},
 }
@@ -75,6 +75,15 @@ def check_schema(df: DataFrame, kind: str) -> DataFrame:
     if kind == "taxonomy" and "parents" in fields and isinstance(fields["parents"], T.ArrayType):
         if not isinstance(fields["parents"].elementType, T.StringType):
             problems.append("'parents' must be array<string>")
+    if kind == "review":
+        if "text" in fields and not isinstance(fields["text"], T.StringType):
+            problems.append("'text' must be string")
+        if "length_of_review" in fields and not isinstance(
+            fields["length_of_review"], (T.LongType, T.IntegerType)
+        ):
+            problems.append("'length_of_review' must be integral")
+        if "text" not in fields and "length_of_review" not in fields:
+            problems.append("needs 'text' (or its precomputed 'length_of_review')")
     if problems:
         raise SchemaMismatch(f"{kind}: " + "; ".join(problems))
     return df

@@ -12,6 +12,10 @@ derived, all lazily and all from whole tables:
   order-part-supplier triple, user ``o_custkey``, business ``l_partkey``, date
   ``o_orderdate`` as ``yyyy-MM-dd``, text the document whose ``doc_id`` is
   ``l_orderkey`` modulo the number of documents (every review gets a whole text).
+  About sixty reviews share each document, so the frame also carries
+  ``length_of_review``, measured once per document over its whole text and joined
+  as a bigint: the text itself is never copied into review rows unless a
+  consumer reads it.
 * user      <- customer: id ``c_custkey``; the elite field lists, newest first, the
   distinct years in which the customer placed an order priced over the threshold,
   or holds the sentinel when there is none.
@@ -80,7 +84,9 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    documents = table(spark, sf_dir, "documents", "doc_id", "text").withColumn(
+        "length_of_review", F.length("text").cast("long")
+    )
     n_documents = documents.select(F.count(F.lit(1))).scalar()
     keyed = items.join(orders, items.l_orderkey == orders.o_orderkey).select(
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey").alias("review_id"),
@@ -90,7 +96,7 @@ def review(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod(F.col("l_orderkey"), n_documents).alias("doc_id"),
     )
     return keyed.join(documents, "doc_id", "left").select(
-        "review_id", "user_id", "business_id", "date", "text"
+        "review_id", "user_id", "business_id", "date", "text", "length_of_review"
     )
 
 
