@@ -28,6 +28,19 @@ def export_tsv(df: DataFrame, path: str, single_file: bool = False, mode: str =
     df.write.options(**_OPTIONS).mode(mode).csv(path)
 
 
+# Read side: an unquoted empty field is null; a quoted empty field ("") is an empty
+# string. The parser maps unquoted empties to ``nullValue``, so it is set to a
+# marker that cannot occur in text, and quoted empties to ``emptyValue``.
+_NULL_MARK = "\u0000"
+
+
 def read_tsv(spark: SparkSession, path: str, schema) -> DataFrame:
     """Read an ``export_tsv`` folder back with a declared schema."""
-    return spark.read.options(**_OPTIONS).option("multiLine", "true").schema(schema).csv(path)
+    return (
+        spark.read.options(**_OPTIONS)
+        .option("multiLine", "true")
+        .option("nullValue", _NULL_MARK)
+        .option("emptyValue", "")
+        .schema(schema)
+        .csv(path)
+    )
