@@ -50,6 +50,20 @@ class CohortAnalysis:
     def from_star(cls, star) -> "CohortAnalysis":
         return cls(star.business, star.review, star.user, star.taxonomy)
 
+    def materialize(self, *stages: str, fallback_dir: str | None = None) -> "CohortAnalysis":
+        """Checkpoint the named stages into the shared ``spark.checkpoint.dir`` and use
+        the written copies from then on. Outputs built afterwards read the files, so
+        several outputs share one computation and a lost executor costs a re-read,
+        not a re-run of the lineage."""
+        from cohortlens.config import cut_lineage
+
+        for name in stages:
+            frame = getattr(self, name)
+            if not isinstance(frame, DataFrame):
+                raise ValueError(f"{name} is not a stage frame")
+            self.__dict__[name] = cut_lineage(frame, fallback_dir)
+        return self
+
     # -- taxonomy and businesses -------------------------------------------------
 
     @cached_property

@@ -1,0 +1,3 @@
+from cohortlens.streaming.q1_stream import q1_bar_stream, review_stream, start_q1_bar_stream
+
+__all__ = ["q1_bar_stream", "review_stream", "start_q1_bar_stream"]

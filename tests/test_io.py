@@ -58,3 +58,28 @@ def test_schema_check_reports_problems(spark):
     no_text = spark.createDataFrame([("r", "u", "b", "d")], "review_id string, user_id string, business_id string, date string")
     with pytest.raises(SchemaMismatch, match="text"):
         check_schema(no_text, "review")
+
+
+def test_export_charts_round_trip(spark):
+    from pyspark.sql import types as T
+
+    from cohortlens.plans.exports import export_charts
+    from cohortlens.plans.registry import analysis_for
+
+    a = analysis_for(spark, "/root/testdata/sf0.001")
+    expected = rows(a.q1_bar, "status", "Category", "review_count")
+    paths = export_charts(a, _tmp() + "/charts", checkpoint_fallback=_tmp())
+    schema = T.StructType(
+        [
+            T.StructField("status", T.StringType()),
+            T.StructField("Category", T.StringType()),
+            T.StructField("length_of_reviews", T.DoubleType()),
+            T.StructField("review_count", T.LongType()),
+        ]
+    )
+    back = read_tsv(spark, paths["q1_bar"], schema)
+    assert rows(back, "status", "Category", "review_count") == expected
+    import glob
+
+    assert len(glob.glob(paths["q1_bar"] + "/part-*")) == 1
+    assert read_tsv(spark, paths["q2_box_rows"], "Category string, length_of_review long, new_filtered_elites string").count() == a.q2_box_rows.count()
