@@ -10,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# Input field names, which must equal those of the exported data.
+#   business: business_id, name, city, state, categories
+#   review:   review_id, user_id, business_id, date, text
+#   user:     user_id, yelping_since, elite
+#   taxonomy: alias, title, parents
+
 BUSINESS_SCHEMA = T.StructType(
     [
         T.StructField("business_id", T.StringType(), False),
