@@ -83,3 +83,23 @@ def test_export_charts_round_trip(spark):
 
     assert len(glob.glob(paths["q1_bar"] + "/part-*")) == 1
     assert read_tsv(spark, paths["q2_box_rows"], "Category string, length_of_review long, new_filtered_elites string").count() == a.q2_box_rows.count()
+
+
+def test_ingest_reviews_partitioned_by_year(spark):
+    from cohortlens.sources import ingest_to_parquet
+
+    d = _tmp()
+    with open(f"{d}/review.json", "w") as f:
+        for i in range(30):
+            f.write(json.dumps({"review_id": f"r{i}", "user_id": "u", "business_id": "b",
+                                "date": f"{2010 + i % 3}-01-0{1 + i % 9}", "text": "x" * i, "cool": 1}) + "\n")
+    ingest_to_parquet(spark, "review", f"{d}/review.json", f"{d}/review_pq")
+    import os
+
+    assert sorted(p for p in os.listdir(f"{d}/review_pq") if p.startswith("review_year=")) == [
+        "review_year=2010", "review_year=2011", "review_year=2012"
+    ]
+    back = read_source(spark, "review", f"{d}/review_pq", fmt="parquet")
+    assert back.count() == 30
+    pruned = back.filter("date >= '2012'")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in pruned
