@@ -46,7 +46,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus * 2)
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus * 2)))
     # JVM start and JIT warm-up, not timed: one pass over the review stage.
     build("review_lengths", spark, sf_dir).write.format("noop").mode("overwrite").save()
     times, cold = {}, {}
