@@ -1,5 +1,7 @@
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from cohortlens.plans.registry import analysis_for
@@ -7,7 +9,9 @@ from cohortlens.streaming import q1_bar_stream, review_stream, start_q1_bar_stre
 from conftest import rows
 
 
-def test_streamed_q1_equals_batch_q1(spark):
+
+@pytest.mark.parametrize("dedupe_within", [None, "1 hour"])
+def test_streamed_q1_equals_batch_q1(spark, dedupe_within):
     a = analysis_for(spark, "/root/testdata/sf0.001")
     src = tempfile.mkdtemp(prefix="cohortlens-stream-src-")
     reviews = a.review.select("review_id", "user_id", "business_id", "date", "text")
@@ -16,10 +20,16 @@ def test_streamed_q1_equals_batch_q1(spark):
     second = reviews.filter(F.col("date") >= "1998-01-01")
     first.write.mode("append").parquet(src)
     second.unionByName(second.limit(5)).write.mode("append").parquet(src)
-    stream = q1_bar_stream(review_stream(spark, src, max_files=1, schema=reviews.schema), a.user, a.business_top_level)
-    q = start_q1_bar_stream(stream, "q1_stream_test", tempfile.mkdtemp(prefix="cohortlens-stream-ckpt-"))
+    stream = q1_bar_stream(
+        review_stream(spark, src, max_files=3, schema=reviews.schema),
+        a.user,
+        a.business_top_level,
+        dedupe_within=dedupe_within,
+    )
+    name = f"q1_stream_test_{0 if dedupe_within is None else 1}"
+    q = start_q1_bar_stream(stream, name, tempfile.mkdtemp(prefix="cohortlens-stream-ckpt-"))
     q.awaitTermination(300)
-    got = spark.sql("SELECT * FROM q1_stream_test")
+    got = spark.sql(f"SELECT * FROM {name}")
     cols = ("status", "Category", "review_count")
     assert rows(got, *cols) == rows(a.q1_bar, *cols)
     means = {(r["status"], r["Category"]): r["length_of_reviews"] for r in got.collect()}
