@@ -1,7 +1,6 @@
 import tempfile
 
 import pytest
-
 from pyspark.sql import functions as F
 
 from cohortlens.plans.registry import analysis_for
