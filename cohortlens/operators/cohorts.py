@@ -14,7 +14,6 @@ from cohortlens.functions.columns import (
     split_list,
     status_label,
     year_number,
-    year_text,
 )
 
 
@@ -118,5 +117,4 @@ __all__ = [
     "user_elite_years",
     "user_status",
     "with_status",
-    "year_text",
 ]

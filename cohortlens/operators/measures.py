@@ -39,7 +39,3 @@ def review_years(dated_reviews: DataFrame, compat: bool = False) -> DataFrame:
     return dated_reviews.select(
         "user_id", year.alias("review_year"), "business_id", "length_of_review"
     ).distinct()
-
-
-def with_review_year(df: DataFrame) -> DataFrame:
-    return df.withColumn("review_year", year_number(F.col("date")))

@@ -31,7 +31,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.columns import NON_ELITE, pre_post_label, year_number
+from cohortlens.functions.columns import NON_ELITE
 from cohortlens.operators import cohorts, measures, summaries, taxonomy
 from cohortlens.operators.joins import DIMENSION_ROWS, TITLE_ROWS, broadcast_if, rows_at_most
 from cohortlens.schemas import check_schema
@@ -229,16 +229,11 @@ class CohortAnalysis:
     @cached_property
     def pre_post_labels(self) -> DataFrame:
         """Every category-tagged review of a status holder with its label."""
-        joined = self.category_reviews.withColumn("review_year", year_number("date")).join(
-            self._first_year_side, "user_id"
-        )
-        return joined.withColumn(Q2_LABEL, pre_post_label("review_year", "first_elite_year"))
+        return cohorts.pre_post_labels(self.category_reviews, self._first_year_side)
 
     def _q2_labelled(self) -> DataFrame:
-        joined = self.review_lengths.withColumn("review_year", year_number("date")).join(
-            self._first_year_side, "user_id"
-        )
-        return joined.withColumn(Q2_LABEL, pre_post_label("review_year", "first_elite_year"))
+        """Labelled reviews before the category fan-out."""
+        return cohorts.pre_post_labels(self.review_lengths, self._first_year_side)
 
     @cached_property
     def q2_bar(self) -> DataFrame:
