@@ -75,3 +75,12 @@ def test_gap_volume_share_and_candidates(spark):
     assert got == {"non-elite": (6, 1), "elite": (1, 1)}
     cands = summaries.promising_users(rws, box)
     assert rows(cands, "user_id", "tier") == [("u2", "beyond_whisker")]
+
+
+def test_approximate_quartiles_close_to_exact(spark):
+    df = spark.range(0, 5000).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % 1000).alias("v"))
+    exact = summaries.box_summary(df, ["g"], measure="v").first()
+    approx = summaries.box_summary(df, ["g"], measure="v", exact=False).first()
+    for q in ("q1", "median", "q3"):
+        assert abs(exact[q] - approx[q]) <= 2, q
+    assert approx["n"] == exact["n"] == 5000
