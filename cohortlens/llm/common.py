@@ -60,6 +60,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table that one task may hold.
+NARROW_ROWS = 100_000
+
+
+def cut_narrow(df: DataFrame) -> DataFrame:
+    """``cut`` for a table of a few numbers a row, in as many parts as its rows need: a
+    small table in hundreds of parts costs hundreds of files in every later shuffle."""
+    df = cut(df)
+    n = -(-df.count() // NARROW_ROWS)
+    return df.coalesce(max(1, n))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import SPACE, cut, table
+from cohortlens.llm.common import SPACE, cut, cut_narrow, table
 
 #: Base rules. Fixed values.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -39,6 +39,8 @@ SYMBOLS = "#*$%&|<>"
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 H_SHARE, MAX_STEPS = 0.75, 8
+#: Steps end when no group's log determinant falls by more.
+LEAST_DROP = 1e-3
 #: Consistency factor for four dimensions at a share of 0.75.
 CONSISTENCY = 1.485
 #: Squared distance from which a text is an outlier: ten robust standard deviations.
@@ -125,7 +127,7 @@ def _sums(rows: DataFrame) -> DataFrame:
 def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
     """One concentration step: the model of the nearest rows of each group."""
     near = rows.join(model, "g").withColumn("bin", F.floor(F.log1p(_distance()) * 64)).select("g", "bin", *[f"x{i}" for i in range(P)])
-    hist = near.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("k"))
+    hist = cut_narrow(near.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("k")))
     so_far = Window.partitionBy("g").orderBy("bin")
     total = Window.partitionBy("g")
     last = hist.withColumn("upto", F.sum("k").over(so_far)).withColumn("all", F.sum("k").over(total))
@@ -134,7 +136,7 @@ def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def _starts(rows: DataFrame) -> list[DataFrame]:
-    mid = rows.groupBy("g").agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(P)])
+    mid = cut_narrow(rows.groupBy("g").agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(P)]))
     away = rows.join(mid, "g").groupBy("g").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i in range(P)]
     )
@@ -143,19 +145,19 @@ def _starts(rows: DataFrame) -> list[DataFrame]:
         *[(F.greatest(1.4826 * F.col(f"a{i}") / SCALE, F.lit(FLOOR[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)],
         F.lit(0.0).alias("det"),
     )
-    return [robust, _factor(_sums(rows))]
+    return [cut_narrow(robust), cut_narrow(_factor(_sums(rows)))]
 
 
 def estimate(rows: DataFrame) -> DataFrame:
     """Minimum-determinant centre and factor for each group of the rows (g, x0..)."""
     found = None
     for start in _starts(rows):
-        model, step = cut(_step(rows, start)), 1
+        model, step = cut_narrow(_step(rows, start)), 1
         while step < MAX_STEPS:
-            new = cut(_step(rows, model))
+            new = cut_narrow(_step(rows, model))
             drop = new.select("g", F.col("det").alias("to")).join(model.select("g", "det"), "g").agg(F.max(F.col("det") - F.col("to"))).first()[0]
             model, step = new, step + 1
-            if drop is None or drop < 1e-9:
+            if drop is None or drop < LEAST_DROP:
                 break
         found = model if found is None else found.unionByName(model)
     nth = Window.partitionBy("g").orderBy("det", "m0")
@@ -176,11 +178,11 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_c
     names = names.withColumn("pooled", F.sum("n").over(pool)).withColumn(
         "g", F.when(F.col("own"), by_both).when(F.col("pooled") >= MIN_GROUP, by_lang).otherwise("")
     )
-    names = cut(names.select(F.col("_lang").alias("nl"), F.col("_source").alias("ns"), "g"))
+    names = cut_narrow(names.select(F.col("_lang").alias("nl"), F.col("_source").alias("ns"), "g"))
     named = F.col("_lang").eqNullSafe(F.col("nl")) & F.col("_source").eqNullSafe(F.col("ns"))
-    grouped = cut(rows.join(names, named).select("g", *[f"x{i}" for i in range(P)]))
+    grouped = cut_narrow(rows.join(names, named).select("g", *[f"x{i}" for i in range(P)]))
     sizes = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_POOL)
-    model = cut(estimate(grouped.join(sizes.select("g"), "g", "left_semi")))
+    model = cut_narrow(estimate(cut_narrow(grouped.join(sizes.select("g"), "g", "left_semi"))))
     judged = stats.join(names, named, "left").join(model, "g", "left")
     far = F.coalesce(_distance() / CONSISTENCY > CUTOFF, F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)
