@@ -6,18 +6,23 @@ their sets' Jaccard similarity reaches the threshold, 0.8; equal sets are copies
 
 Method. Each run samples tokens by a shared hash: a set of n tokens chooses those whose
 hash falls below 1 / (threshold * n), so each run sends it to 1 / threshold buckets in the
-mean, and two linked sets meet in one of them with at least 1 - 1/e. A bucket of at most
+mean, and two linked sets share one bucket a run or more in the mean. A bucket of at most
 ``BUCKET_SETS`` sets is brute-forced. A larger one is split again by tokens chosen afresh
 for its path, up to ``MAX_DEPTH`` levels. One level keeps a linked pair with a chance of
-0.63, two 0.47, three 0.37 (a branching process of mean one), so ``RUNS`` = 24 runs miss a
-pair at the threshold in one of 10^10, 10^6 and 10^4 cases.
-
-Brute force is exact. Inside a bucket the rarest tokens of every set (as many as a linked
-set can lack) link candidates; every group of candidates is compared by exact
-intersections. A bucket that still is too large (near copies of one text share their
-tokens, however it is split) is compared in blocks, one task for each pair of blocks. Pairs
-are not written: a pair counts in the smallest bucket that both sets share, so a task
-returns one row a set, with its number of links and the smallest set it is joined to.
+0.63 a run, two 0.47, three 0.37 (a branching process of mean one), so ``RUNS`` = 16 runs
+miss a pair at the threshold in one of 10^7, 2 * 10^4 and 2 * 10^3 cases; more similar
+pairs, which share more tokens, are missed far less. Before any set is fetched, sets with
+fewer than ``MIN_SHARED`` buckets that another set shares are put aside: a linked pair shares
+16 or more in the mean, fewer than 3 in one of 6 * 10^4 cases.
+
+Brute force is exact. Buckets that share sets are compared as one unit while the unit has at
+most ``UNIT_SETS`` sets, so each set travels once; beyond that each bucket is a unit, and a
+pair counts in the smallest bucket that both sets share. Inside a unit the rarest tokens of
+every set (as many as a linked set can lack) link candidates; every group of candidates is
+compared by exact intersections. A unit of over ``BUCKET_SETS`` sets (near copies of one text
+share their tokens, however they are split) is compared in blocks, one task for each pair of
+blocks. Pairs are not written: a task returns one row a set, with its number of links and
+the smallest set it is joined to.
 
 Result: a row for each input row: id, class_id (smallest id of all texts connected by
 links or copies), n_links (other rows that are copies or linked), n_copies (rows with an
@@ -27,9 +32,9 @@ Null texts have the empty set; empty sets are copies of each other. Null ids sta
 class of null ids only has a null class_id. Repeated rows are copies. Long texts are read
 whole. No rows: no rows. Columns other than the id and the text are not read.
 
-Scale. Copies collapse by a 128-bit signature of the set before anything is joined.
-Buckets with the same members are brute-forced once. Texts are shuffled once for the sets
-in a bucket of two or more, and once more for each further level, of large buckets only.
+Scale. Copies collapse by a 128-bit signature of the set before anything is joined. Texts
+are shuffled once, to take the token sets of those that share buckets; further levels and
+the comparison read these sets.
 """
 
 from __future__ import annotations
@@ -42,11 +47,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import cut, mix, shingles, ship, slices, table, words
+from cohortlens.llm.common import cut, cut_narrow, mix, shingles, ship, slices, table, words
 
 WORDS, THRESHOLD = 5, 0.8
-RUNS, MAX_DEPTH = 24, 3
-BUCKET_SETS = 1500
+RUNS, MAX_DEPTH, MIN_SHARED = 16, 3, 3
+BUCKET_SETS, UNIT_SETS = 1500, 6000
 
 _U = np.uint64
 _FULL = float(2**64)
@@ -117,30 +122,22 @@ def _first_level(k: int, rate: float, runs: int):
     return run
 
 
-def _next_level(k: int, rate: float):
-    """Rows (text, sig, paths) to rows (sig, parent, bucket): tokens chosen afresh for each path."""
+def _next_level(rate: float):
+    """Rows (sig, tokens, paths) to rows (sig, parent, bucket): tokens chosen afresh for each path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                tokens, offs = token_sets(part.column("text"), k)
-                sig, paths = part.column("sig").to_pylist(), part.column("paths").to_pylist()
-                have = signatures(tokens, offs)
-                out: list[tuple[bytes, int, int]] = []
-                for i in range(part.num_rows):
-                    if have[i] != sig[i]:
-                        continue
-                    own = tokens[offs[i] : offs[i + 1]]
-                    limit = _limit(np.array([len(own)]), rate)[0]
-                    parents = np.array(paths[i], dtype=np.int64)
-                    keys = _odd(parents.view(np.uint64))
-                    for parent, key in zip(parents.tolist(), keys, strict=True):
-                        r = own * key
-                        for b in mix(r[r < limit] ^ key).view(np.int64).tolist():
-                            out.append((sig[i], parent, b))
-                if out:
-                    cols = zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["sig", "parent", "bucket"])
+            out: list[tuple[bytes, int, int]] = []
+            for sig, tokens, paths in zip(*(batch.column(c).to_pylist() for c in ("sig", "tokens", "paths")), strict=True):
+                own = np.frombuffer(tokens, np.uint64)
+                limit = _limit(np.array([len(own)]), rate)[0]
+                keys = _odd(np.array(paths, dtype=np.int64).view(np.uint64))
+                for parent, key in zip(paths, keys, strict=True):
+                    r = own * key
+                    out += [(sig, parent, b) for b in mix(r[r < limit] ^ key).view(np.int64).tolist()]
+            if out:
+                cols = zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in cols], names=["sig", "parent", "bucket"])
 
     return run
 
@@ -246,7 +243,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 def _brute(threshold: Fraction):
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pydict()
-        here, _, left, right = (rows[c][0] for c in ("bucket", "blocks", "left", "right"))
+        here, left, right = (rows[c][0] for c in ("bucket", "left", "right"))
         # A set that came twice (repeated ids) counts once.
         first = {s: i for i, s in reversed(list(enumerate(rows["sig"])))}
         at = sorted(first.values())
@@ -261,7 +258,8 @@ def _brute(threshold: Fraction):
         for i, g in enumerate(label.tolist()):
             low[g] = min(low.get(g, sig[i]), sig[i])
         out = [i for i in range(len(at)) if size[label[i]] > 1]
-        return pa.table({"sig": pa.array([sig[i] for i in out], pa.binary()), "to": pa.array([low[int(label[i])] for i in out], pa.binary()), "links": pa.array([int(links[i]) for i in out], pa.int64())})
+        return pa.table({"sig": pa.array([sig[i] for i in out], pa.binary()), "to": pa.array([low[int(label[i])] for i in out], pa.binary()),
+                         "links": pa.array([int(links[i]) for i in out], pa.int64()), "whole": pa.array([rows["whole"][0]] * len(out), pa.bool_())})
 
     return run
 
@@ -274,13 +272,14 @@ def _key(id_col: str, text_col: str) -> Column:
 def connect(edges: DataFrame) -> DataFrame:
     """(sig, root): the smallest signature that each is connected to. Rounds of taking the
     smallest neighbour's root, then the root's root, until nothing changes."""
-    both = cut(edges.select("sig", "to").union(edges.select("to", "sig")).where("sig <> to").distinct())
-    roots = cut(both.groupBy("sig").agg(F.min("to").alias("m")).select("sig", F.least("sig", "m").alias("root")))
+    both = cut_narrow(edges.select("sig", "to").union(edges.select("to", "sig")).where("sig <> to").distinct())
+    roots = cut_narrow(both.groupBy("sig").agg(F.min("to").alias("m")).select("sig", F.least("sig", "m").alias("root")))
     while True:
         near = both.join(roots.select(F.col("sig").alias("to"), F.col("root").alias("r")), "to").groupBy("sig").agg(F.min("r").alias("r"))
         new = roots.join(near, "sig", "left").select("sig", F.col("root").alias("old"), F.least("root", F.coalesce("r", "root")).alias("root"))
+        new = cut_narrow(new)
         jump = new.select(F.col("sig").alias("root"), F.col("root").alias("up"))
-        new = cut(new.join(jump, "root", "left").select("sig", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
+        new = cut_narrow(new.join(jump, "root", "left").select("sig", "old", F.least("root", F.coalesce("up", "root")).alias("root")))
         changed = new.where("root <> old").limit(1).count()
         roots = new.select("sig", "root")
         if not changed:
@@ -301,20 +300,27 @@ def _groups(docs: DataFrame, threshold: float, k: int, runs: int, bucket_sets: i
     idt = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = cut(texts.mapInArrow(_first_level(k, rate, runs), f"key string, id {idt}, sig binary, n long, buckets array<bigint>"))
-    classes = cut(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("low"), F.min("key").alias("key")))
-    # (bucket, sig) of all levels; those that stay small are leaves.
-    level = cut(rows.select(F.explode("buckets").alias("bucket"), "sig").distinct().withColumn("parent", F.lit(None).cast("long")))
+    one = F.min_by("buckets", "key").alias("buckets")  # equal sets have equal buckets
+    classes = cut(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("low"), F.min("key").alias("key"), one))
+    level = classes.select(F.explode(F.array_distinct("buckets")).alias("bucket"), "sig")
+    shared = level.join(level.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket"), "bucket", "left_semi")
+    some = shared.groupBy("sig").agg(F.collect_list("bucket").alias("buckets")).where(F.size("buckets") >= MIN_SHARED)
+    some = cut(some.join(classes.select("sig", "key", "copies"), "sig"))
+    asked = texts.select("key", "text").join(some.select("key", "sig", "copies"), "key").select("text", "sig", "copies")
+    sets = cut(asked.mapInArrow(_with_sets(k), "sig binary, copies long, tokens binary").dropDuplicates(["sig"]))
+    # (bucket, sig) level by level; those that stay small are leaves.
+    level = some.select(F.explode("buckets").alias("bucket"), "sig", F.lit(None).cast("long").alias("parent"))
     leaves, parents = [], None
     for depth in range(1, MAX_DEPTH + 1):
         # Members are summed exactly, so buckets of the same members have the same sum.
-        member = F.conv(F.substring(F.sha1(F.col("sig")), 1, 15), 16, 10).cast("decimal(20,0)")
-        sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum(member).alias("who"), F.min("parent").alias("parent")).where("m > 1")
+        member = F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("who")
+        sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), member, F.min("parent").alias("parent")).where("m > 1")
         if parents is not None:
             sizes = sizes.join(parents.withColumnsRenamed({"bucket": "parent", "m": "before"}), "parent", "left")
-            stuck = F.col("m") * 2 > F.col("before")  # splitting doesn't part near copies
+            stuck = F.coalesce(F.col("m") * 2 > F.col("before"), F.lit(False))  # splitting doesn't part near copies
         else:
             stuck = F.lit(False)
-        sizes = cut(sizes.withColumn("stuck", F.coalesce(stuck, F.lit(False))))
+        sizes = cut(sizes.withColumn("stuck", stuck))
         go_on = (F.col("m") > bucket_sets) & ~F.col("stuck") if depth < MAX_DEPTH else F.lit(False)
         leaf = sizes.where(~go_on).groupBy("who", "m").agg(F.min("bucket").alias("bucket"))
         leaves.append(level.join(leaf.select("bucket", "m"), "bucket").select("bucket", "sig", "m"))
@@ -322,28 +328,35 @@ def _groups(docs: DataFrame, threshold: float, k: int, runs: int, bucket_sets: i
         if depth == MAX_DEPTH or not large.limit(1).count():
             break
         paths = level.join(large, "bucket").groupBy("sig").agg(F.collect_list("bucket").alias("paths"))
-        asked = paths.join(classes.select("sig", "key"), "sig")
-        again = texts.select("key", "text").join(asked, "key").select("text", "sig", "paths")
-        level = cut(again.mapInArrow(_next_level(k, rate), "sig binary, parent long, bucket long").distinct())
+        again = sets.select("sig", "tokens").join(paths, "sig")
+        level = cut(again.mapInArrow(_next_level(rate), "sig binary, parent long, bucket long").distinct())
         parents = large
     found = leaves[0]
     for x in leaves[1:]:
         found = found.unionByName(x)
-    found = cut(found)
-    # Each set's leaves travel with it: a set has a bounded number of them.
-    per_set = found.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("bucket", "m"))).alias("leaf"))
-    asked = per_set.join(classes.select("sig", "key", "copies"), "sig")
-    sets = texts.select("key", "text").join(asked, "key").select("text", "sig", "copies", F.transform("leaf", lambda x: x["bucket"]).alias("leaves"), "leaf")
-    kind = "sig binary, copies long, leaves array<bigint>, leaf array<struct<bucket:bigint,m:bigint>>, tokens binary"
-    sets = sets.mapInArrow(_with_sets(k), kind).withColumn("l", F.explode("leaf")).select("sig", "copies", "leaves", "tokens", F.col("l.bucket").alias("bucket"), F.col("l.m").alias("m"))
-    # Blocks of a bucket that stayed large; a set meets every block once.
+    found = cut_narrow(found)
+    # Units: buckets that share sets, while these are few.
+    least = found.groupBy("bucket").agg(F.min("sig").alias("to"))
+    unit = connect(found.join(least, "bucket").select("sig", "to"))
+    unit = unit.join(unit.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root").select("sig", F.xxhash64("root").alias("unit"), "root", "m")
+    small = unit.where(F.col("m") <= UNIT_SETS).select("sig", F.col("unit").alias("bucket"), "root", "m", F.array().cast("array<bigint>").alias("leaves"))
+    big = unit.where(F.col("m") > UNIT_SETS).select("sig")
+    big = cut(found.join(big, "sig", "left_semi"))
+    per_set = big.groupBy("sig").agg(F.sort_array(F.collect_list("bucket")).alias("leaves"))
+    big = big.join(per_set, "sig").select("sig", "bucket", F.lit(None).cast("binary").alias("root"), "m", "leaves")
+    work = small.unionByName(big).join(sets, "sig")
+    # Blocks of a unit that stayed large; a set meets every block once.
     blocks = F.ceil(F.col("m") / bucket_sets).cast("int")
-    sets = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).drop("other", "m")
-    found = cut(sets.groupBy("bucket", "blocks", "left", "right").applyInArrow(_brute(exact), "sig binary, to binary, links long"))
+    work = work.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = work.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
+    work = work.withColumn("whole", F.col("root").isNotNull() & (F.col("blocks") == 1)).drop("other", "m", "blocks")
+    found = cut_narrow(work.groupBy("bucket", "root", "left", "right").applyInArrow(_brute(exact), "sig binary, to binary, links long, whole boolean"))
     links = found.groupBy("sig").agg(F.sum("links").alias("links"))
-    roots = connect(found)
+    # A unit compared in one task is joined as a whole there; others are joined here.
+    roots, parts = found.where("whole").select("sig", F.col("to").alias("root")), found.where("not whole")
+    if parts.limit(1).count():
+        roots = roots.unionByName(connect(parts))
     named = classes.join(roots, "sig", "left").join(links, "sig", "left")
     named = named.select("sig", "copies", "low", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sig").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("class_id"))
