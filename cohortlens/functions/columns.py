@@ -70,19 +70,18 @@ def status_label(elite: str | Column, compat: bool = False) -> Column:
 def first_status_year(elites: str | Column) -> Column:
     """Earliest status year of one user, from the split year list, as int.
 
-    Non-numeric entries are skipped, so ``['None']`` or ``['']`` give null.
+    Only four-digit entries are years, so ``['None']``, ``['']`` or ``['20']`` give null.
     One expression per row: no explode, no shuffle.
     """
-    years = F.transform(_col(elites), lambda y: F.trim(y).try_cast("int"))
-    return F.array_min(F.filter(years, lambda y: y.isNotNull()))
+    years = F.filter(F.transform(_col(elites), lambda y: F.trim(y)), lambda y: y.rlike("^[0-9]{4}$"))
+    return F.array_min(F.transform(years, lambda y: y.cast("int")))
 
 
 def pre_post_label(review_year: str | Column, first_year: str | Column) -> Column:
     """Corrected rule: a review written in a year before the first status year is
-    'pre'; the first year itself and later are 'post'."""
-    return F.when(_col(review_year) < _col(first_year), F.lit(PRE_LABEL)).otherwise(
-        F.lit(POST_LABEL)
-    )
+    'pre'; the first year itself and later are 'post'. Null without either year."""
+    before = _col(review_year) < _col(first_year)
+    return F.when(before, F.lit(PRE_LABEL)).when(~before, F.lit(POST_LABEL))
 
 
 def pre_post_label_compat(first_year_text: str | Column, date_text: str | Column) -> Column:

@@ -9,7 +9,7 @@ from cohortlens.operators.cohorts import (
     user_status,
     with_status,
 )
-from cohortlens.operators.joins import row_count_at_most, sized_broadcast
+from cohortlens.operators.joins import fits, sized_broadcast
 from cohortlens.operators.measures import review_lengths, review_years
 from cohortlens.operators.summaries import (
     box_summary,
@@ -48,7 +48,7 @@ __all__ = [
     "promising_users",
     "review_lengths",
     "review_years",
-    "row_count_at_most",
+    "fits",
     "share_above_reference_q3",
     "sized_broadcast",
     "top_level_taxonomy",

@@ -1,9 +1,8 @@
 """Join sides: broadcast only what has been counted small.
 
-A side is broadcast only after a bounded count (``limit(n + 1)``: every task stops
-after ``n + 1`` rows) has shown it holds at most ``n`` rows, or when its size
-follows from sides already counted (a summary keyed by a counted category set and
-a fixed set of cohorts). Otherwise the side is left to the planner: a shuffled
+A side is broadcast only after it has been measured: one partial aggregate of its row
+count and bytes, so each task sends one row. A summary keyed by a measured category set
+and a fixed set of cohorts needs no measure of its own. Otherwise the side is left to the planner: a shuffled
 join, which adaptive execution may turn into a broadcast once the shuffle has
 measured it, or split when one key is hot.
 """
@@ -11,13 +10,13 @@ measured it, or split when one key is hot.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# Row bounds for broadcast sides. Rows here are narrow (a key and one or two short
-# columns), so 2M rows stay well under 100 MB.
+# Bounds for broadcast sides: rows, and bytes of the rows' values. A hash relation takes
+# several times the bytes, so the byte bound is far below an executor's memory.
+BROADCAST_BYTES = 32 << 20
 DIMENSION_ROWS = 2_000_000
 # Category titles: real taxonomies hold a few thousand; summaries keyed by
 # (cohort, category) then stay under a few MB.
@@ -26,27 +25,27 @@ TITLE_ROWS = 100_000
 JoinSide = Callable[[DataFrame], DataFrame]
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def measure(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of a frame, by one partial aggregate."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        wide = F.octet_length(f.name) if isinstance(f.dataType, StringType) else F.octet_length(F.col(f.name).cast("string"))
+        size = size + F.coalesce(wide, F.lit(0)) + 8
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n, total
 
 
-def rows_at_most(frames: dict[str, tuple[DataFrame, int]]) -> dict[str, bool]:
-    """Bounded counts of several frames in one job: ``{name: rows <= bound}``."""
-    if not frames:
-        return {}
-    parts = [
-        df.limit(bound + 1)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(name).alias("side"), F.lit(bound).cast("long").alias("bound"), "n")
-        for name, (df, bound) in frames.items()
-    ]
-    rows = reduce(DataFrame.unionByName, parts).collect()
-    return {r["side"]: r["n"] <= r["bound"] for r in rows}
+def fits(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a side is small enough to broadcast."""
+    if max_rows <= 0:
+        return False
+    n, total = measure(df)
+    return n <= max_rows and total <= max_bytes
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a bounded count shows at most ``max_rows`` rows."""
-    if max_rows > 0 and row_count_at_most(df, max_rows):
+    """``df`` marked for broadcast if it was measured to be small."""
+    if fits(df, max_rows):
         return F.broadcast(df)
     return df
 

@@ -145,12 +145,13 @@ def share_above_reference_q3(
     join_side: JoinSide = _summary_side,
 ) -> DataFrame:
     """Per (group, cohort): rows, rows above the reference cohort's Q3 in the same
-    group, and their share."""
+    group, and their share; both null where the reference cohort has no rows."""
     ref = summary.filter(F.col(cohort_key) == reference_cohort).select(
         group_key, F.col("q3").alias("reference_q3")
     )
-    joined = rows.filter(F.col(measure).isNotNull()).join(join_side(ref), group_key)
-    above = F.when(F.col(measure) > F.col("reference_q3"), 1).otherwise(0)
+    joined = rows.filter(F.col(measure).isNotNull()).join(join_side(ref), group_key, "left")
+    over = F.col(measure) > F.col("reference_q3")
+    above = F.when(over, 1).when(~over, 0)
     return joined.groupBy(group_key, cohort_key).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(above).cast("long").alias("n_above_q3"),

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import NON_ELITE
 from cohortlens.operators import cohorts, measures, summaries, taxonomy
-from cohortlens.operators.joins import DIMENSION_ROWS, TITLE_ROWS, broadcast_if, rows_at_most
+from cohortlens.operators.joins import DIMENSION_ROWS, TITLE_ROWS, broadcast_if, fits
 from cohortlens.schemas import check_schema
 
 Q2_LABEL = "new_filtered_elites"
@@ -84,27 +84,26 @@ class CohortAnalysis:
 
     # -- join sides -------------------------------------------------------------------
 
-    @cached_property
-    def _small(self) -> dict[str, bool]:
-        """Which data-dependent join sides are small enough to broadcast (one job)."""
-        plain_top = taxonomy.business_top_level(
-            self.business_category_list, self.top_level_titles, join_side=lambda t: t
-        )
-        return rows_at_most(
-            {
-                "titles": (self.top_level_titles, TITLE_ROWS),
-                "business_top": (plain_top, DIMENSION_ROWS),
-                "status": (self.user.select("user_id"), DIMENSION_ROWS),
-                "first_year": (self.first_elite_year, DIMENSION_ROWS),
-            }
-        )
+    def _fits(self, side: str) -> bool:
+        """Whether a data-dependent join side is small enough to broadcast; each side is
+        measured once, when a query first needs it."""
+        known = self.__dict__.setdefault("_measured", {})
+        if side not in known:
+            frame, bound = {
+                "titles": lambda: (self.top_level_titles, TITLE_ROWS),
+                "business_top": lambda: (self.business_top_level.select("business_id", "Category"), DIMENSION_ROWS),
+                "status": lambda: (self.user.select("user_id", "elite"), DIMENSION_ROWS),
+                "first_year": lambda: (self.first_elite_year, DIMENSION_ROWS),
+            }[side]()
+            known[side] = fits(frame, bound)
+        return known[side]
 
     def _titles_side(self, titles: DataFrame) -> DataFrame:
-        return broadcast_if(titles, self._small["titles"])
+        return broadcast_if(titles, self._fits("titles"))
 
     def _summary_side(self, summary: DataFrame) -> DataFrame:
-        # Rows <= cohorts x titles, and the titles were counted under TITLE_ROWS.
-        return broadcast_if(summary, self._small["titles"])
+        # Rows <= cohorts x titles, and the titles were measured under TITLE_ROWS.
+        return broadcast_if(summary, self._fits("titles"))
 
     @cached_property
     def business_top_level(self) -> DataFrame:
@@ -116,7 +115,7 @@ class CohortAnalysis:
     def _business_top_side(self) -> DataFrame:
         """(business_id, Category) as a join side, broadcast when counted small."""
         return broadcast_if(
-            self.business_top_level.select("business_id", "Category"), self._small["business_top"]
+            self.business_top_level.select("business_id", "Category"), self._fits("business_top")
         )
 
     # -- reviews -----------------------------------------------------------------
@@ -154,11 +153,11 @@ class CohortAnalysis:
     def _status_side(self, compat: bool = False) -> DataFrame:
         """(user_id, elite, status) as a join side, broadcast when counted small
         (one row per user, so the user count bounds it)."""
-        return broadcast_if(cohorts.user_status(self.user, compat), self._small["status"])
+        return broadcast_if(cohorts.user_status(self.user, compat), self._fits("status"))
 
     @cached_property
     def _first_year_side(self) -> DataFrame:
-        return broadcast_if(self.first_elite_year, self._small["first_year"])
+        return broadcast_if(self.first_elite_year, self._fits("first_year"))
 
     # -- question 1: status holders against the others ---------------------------
 
@@ -216,8 +215,10 @@ class CohortAnalysis:
 
     @cached_property
     def q1_by_business(self) -> DataFrame:
-        """Question 1 keyed by business instead of category."""
-        rows = self.review_lengths.join(self._status_side(), "user_id")
+        """Question 1 keyed by business instead of category. Reviews of unknown businesses
+        are left out; businesses without a top-level category stay."""
+        known = self.business.select("business_id")
+        rows = self.review_lengths.join(known, "business_id", "left_semi").join(self._status_side(), "user_id")
         return summaries.mean_and_count(rows, ["status", "business_id"])
 
     # -- question 2: before against after the first status year ------------------
@@ -228,12 +229,13 @@ class CohortAnalysis:
 
     @cached_property
     def pre_post_labels(self) -> DataFrame:
-        """Every category-tagged review of a status holder with its label."""
+        """Every category-tagged review of a status holder with its label, which is null when
+        the review has no year."""
         return cohorts.pre_post_labels(self.category_reviews, self._first_year_side)
 
     def _q2_labelled(self) -> DataFrame:
-        """Labelled reviews before the category fan-out."""
-        return cohorts.pre_post_labels(self.review_lengths, self._first_year_side)
+        """Labelled reviews before the category fan-out; those without a label are left out."""
+        return cohorts.pre_post_labels(self.review_lengths, self._first_year_side).filter(F.col(Q2_LABEL).isNotNull())
 
     @cached_property
     def q2_bar(self) -> DataFrame:
@@ -245,7 +247,7 @@ class CohortAnalysis:
 
     @cached_property
     def q2_box_rows(self) -> DataFrame:
-        return self.pre_post_labels.select("Category", "length_of_review", Q2_LABEL)
+        return self.pre_post_labels.select("Category", "length_of_review", Q2_LABEL).filter(F.col(Q2_LABEL).isNotNull())
 
     @cached_property
     def q2_box_summary(self) -> DataFrame:
@@ -290,7 +292,7 @@ class CohortAnalysis:
         holders = cohorts.compat_status_holders(self.user_elite_years).select(
             "user_id", F.array_min("elites").alias("_first")
         )
-        holders = broadcast_if(holders, self._small["status"])
+        holders = broadcast_if(holders, self._fits("status"))
         rows = self.review.select(
             "user_id",
             "business_id",

@@ -15,8 +15,7 @@ from cohortlens.plans.pipelines import CohortAnalysis
 from cohortlens.sources.testdata import load_star
 
 # Parameters of the registered analyses.
-GAP_MIN_COUNT = 1_000  # both cohorts of a category need this many reviews
-VOLUME_MIN_COUNT = 1_000  # summary rows backed by fewer reviews are dropped
+VOLUME_MIN_COUNT = 2_000  # summary rows backed by fewer reviews are dropped
 LIST_JOIN = "|"
 
 
@@ -92,7 +91,7 @@ def _dated_reviews_with_elite(a: CohortAnalysis) -> DataFrame:
 
 
 def _category_gap(a: CohortAnalysis) -> DataFrame:
-    return a.category_gap(GAP_MIN_COUNT).select(
+    return a.category_gap(0).select(
         "Category",
         F.col("first_mean").alias("elite_mean"),
         F.col("second_mean").alias("non_elite_mean"),

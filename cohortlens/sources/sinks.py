@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.operators.joins import row_count_at_most
-
-# A single output file funnels every row through one task; allow it for summaries only.
-SINGLE_FILE_MAX_ROWS = 1_000_000
-
 _OPTIONS = {"sep": "\t", "header": "true", "quote": '"', "escape": '"'}
 
 
@@ -16,15 +11,11 @@ def export_tsv(df: DataFrame, path: str, single_file: bool = False, mode: str =
     """Write ``df`` as TSV with a header. Fields holding a tab, quote or line break are
     quoted (quotes doubled); null is written as an empty field.
 
-    ``single_file=True`` collapses to one part file and is refused for frames over
-    ``SINGLE_FILE_MAX_ROWS`` rows; row-level exports stay parallel.
+    ``single_file=True`` writes one part file: all work runs in parallel, then one task
+    streams the rows out. It is meant for summaries; row-level exports stay parallel.
     """
     if single_file:
-        if not row_count_at_most(df, SINGLE_FILE_MAX_ROWS):
-            raise ValueError(
-                f"single-file export is limited to {SINGLE_FILE_MAX_ROWS} rows; write it in parallel"
-            )
-        df = df.coalesce(1)
+        df = df.repartition(1)
     df.write.options(**_OPTIONS).mode(mode).csv(path)
 
 

@@ -1,3 +1,4 @@
+import os
 import json
 import tempfile
 
@@ -25,12 +26,31 @@ def test_tsv_round_trip_with_awkward_values(spark):
     assert rows(back, "n", "Category") == sorted((n, c) for c, n in data)
 
 
-def test_single_file_refused_for_large_frames(spark, monkeypatch):
-    import cohortlens.sources.sinks as sinks
+def test_single_file_holds_every_row(spark):
+    path = _tmp() + "/big"
+    export_tsv(spark.range(10_000), path, single_file=True)
+    assert sum(f.startswith("part-") for f in os.listdir(path)) == 1
+    assert spark.read.option("sep", "\t").option("header", "true").csv(path).count() == 10_000
 
-    monkeypatch.setattr(sinks, "SINGLE_FILE_MAX_ROWS", 3)
-    with pytest.raises(ValueError):
-        export_tsv(spark.range(10), _tmp() + "/big", single_file=True)
+
+def test_malformed_json_fails(spark):
+    d = _tmp()
+    with open(f"{d}/tax.json", "w") as f:
+        json.dump([{"alias": "a", "title": "A", "parents": []}], f, indent=2)
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_source(spark, "taxonomy", f"{d}/tax.json").collect()
+
+
+@pytest.mark.parametrize("kind", ["business", "user"])
+def test_bz2_json(spark, kind):
+    import bz2
+
+    d = _tmp()
+    row = {"business_id": "b", "categories": "A, B", "user_id": "u", "elite": "2012", "other": 1}
+    with bz2.open(f"{d}/x.json.bz2", "wt") as f:
+        f.write(json.dumps(row) + "\n")
+    got = read_source(spark, kind, f"{d}/x.json.bz2").first().asDict()
+    assert "other" not in got and got[f"{kind}_id"] == kind[0]
 
 
 def test_json_reader_declared_schema_and_multiline(spark):

@@ -1,5 +1,4 @@
-"""Whole pipelines on a small literal star, checked against the notebook's own
-query shapes written as Spark SQL (theta join, GROUP BY text, explode + min)."""
+"""Whole pipelines on a small literal star, checked against plain Python over its rows."""
 
 import re
 
@@ -12,94 +11,100 @@ from conftest import rows
 SMOKE = "/root/testdata/sf0.001"
 
 
+BUSINESS = {"b1": "Food, Bars", "b2": "Food", "b3": "Shops, Food, Pizza", "b4": "Pizza", "b5": None}
+TAXONOMY = [("food", "Food", []), ("bars", "Bars", ["food"]), ("shops", "Shops", []), ("pizza", "Pizza", ["food"])]
+USERS = {"u1": "2012, 2010", "u2": "None", "u3": "2015", "u4": "", "u5": None}
+TEXTS = ["aaaa", "bb", "cccccc", "dddddddddd", None, "e", "ffff"]
+# (review, user, business, date, text); b6 is an unknown business
+REVIEWS = [
+    (f"r{i % 37}", f"u{1 + i % 5}", f"b{1 + (i * 7) % 6}", f"{2009 + i % 8}-0{1 + i % 9}-1{i % 10}", TEXTS[i % len(TEXTS)])
+    for i in range(40)
+]
+
+
 @pytest.fixture(scope="module")
 def star(spark):
-    business = spark.createDataFrame(
-        [
-            ("b1", "n1", None, None, "Food, Bars"),
-            ("b2", "n2", None, None, "Food"),
-            ("b3", "n3", None, None, "Shops, Food, Pizza"),
-            ("b4", "n4", None, None, "Pizza"),
-            ("b5", "n5", None, None, None),
-        ],
-        "business_id string, name string, city string, state string, categories string",
-    )
-    taxonomy = spark.createDataFrame(
-        [("food", "Food", []), ("bars", "Bars", ["food"]), ("shops", "Shops", []), ("pizza", "Pizza", ["food"])],
-        "alias string, title string, parents array<string>",
-    )
-    users = spark.createDataFrame(
-        [("u1", None, "2012, 2010"), ("u2", None, "None"), ("u3", None, "2015"), ("u4", None, ""), ("u5", None, None)],
-        "user_id string, yelping_since string, elite string",
+    return CohortAnalysis(
+        spark.createDataFrame([(b, None, None, None, c) for b, c in BUSINESS.items()], "business_id string, name string, city string, state string, categories string"),
+        spark.createDataFrame(REVIEWS, "review_id string, user_id string, business_id string, date string, text string"),
+        spark.createDataFrame([(u, None, e) for u, e in USERS.items()], "user_id string, yelping_since string, elite string"),
+        spark.createDataFrame(TAXONOMY, "alias string, title string, parents array<string>"),
     )
-    texts = ["aaaa", "bb", "cccccc", "dddddddddd", None, "e", "ffff"]
-    reviews = []
-    for i in range(40):
-        u = f"u{1 + i % 5}"
-        b = f"b{1 + (i * 7) % 6}"  # includes b6: an unknown business
-        year = 2009 + i % 8
-        reviews.append((f"r{i % 37}", u, b, f"{year}-0{1 + i % 9}-1{i % 10}", texts[i % len(texts)]))
-    review = spark.createDataFrame(
-        reviews, "review_id string, user_id string, business_id string, date string, text string"
-    )
-    for name, df in {"business": business, "taxonomy": taxonomy, "users": users, "review": review}.items():
-        df.createOrReplaceTempView(f"t_{name}")
-    return CohortAnalysis(business, review, users, taxonomy)
-
-
-NOTEBOOK_Q1 = """
-WITH roots AS (SELECT title AS Category FROM t_taxonomy WHERE size(parents) = 0),
-     cat AS (SELECT business_id, split(categories, '\\\\s*,\\\\s*') AS catList FROM t_business),
-     bt AS (SELECT Category, business_id FROM cat JOIN roots ON array_contains(catList, Category)),
-     sel AS (SELECT user_id, date, business_id, review_id, length(text) AS length_of_review
-             FROM t_review GROUP BY user_id, date, review_id, business_id, text),
-     jr AS (SELECT B.business_id, B.Category, N.review_id, N.length_of_review, N.date, N.user_id
-            FROM bt B JOIN sel N ON B.business_id = N.business_id),
-     f AS (SELECT user_id, business_id, Category, length_of_review FROM jr
-           GROUP BY user_id, business_id, Category, length_of_review),
-     aj AS (SELECT x.length_of_review, x.user_id, x.Category, y.elite FROM f x JOIN t_users y ON x.user_id = y.user_id),
-     ef AS (SELECT Category, length_of_review,
-                   CASE WHEN (elite != 'None') THEN 'elite' ELSE 'non-elite' END AS status FROM aj)
-SELECT status, Category, avg(length_of_review) AS length_of_reviews, count(length_of_review) AS review_count
-FROM ef GROUP BY status, Category
-"""
-
-NOTEBOOK_Q2 = """
-WITH roots AS (SELECT title AS Category FROM t_taxonomy WHERE size(parents) = 0),
-     cat AS (SELECT business_id, split(categories, '\\\\s*,\\\\s*') AS catList FROM t_business),
-     bt AS (SELECT Category, business_id FROM cat JOIN roots ON array_contains(catList, Category)),
-     sel AS (SELECT user_id, date, business_id, review_id, length(text) AS length_of_review
-             FROM t_review GROUP BY user_id, date, review_id, business_id, text),
-     jr AS (SELECT B.business_id, B.Category, N.review_id, N.length_of_review, N.date, N.user_id
-            FROM bt B JOIN sel N ON B.business_id = N.business_id),
-     f AS (SELECT user_id, business_id, date, Category, length_of_review FROM jr
-           GROUP BY user_id, business_id, date, Category, length_of_review),
-     aj AS (SELECT x.date, x.length_of_review, x.Category, y.elite, split(y.elite, '\\\\s*,\\\\s*') AS elites
-            FROM f x JOIN t_users y ON x.user_id = y.user_id),
-     ex AS (SELECT *, explode(elites) AS new_elite FROM aj WHERE size(elites) >= 1 AND elite != 'None'),
-     mn AS (SELECT Category, length_of_review, date, min(new_elite) AS new_elites FROM ex
-            GROUP BY Category, length_of_review, date),
-     pp AS (SELECT Category, date, length_of_review, new_elites,
-                   if(new_elites > date, 'Post-elite review', 'Pre-elite review') AS new_filtered_elites
-            FROM mn GROUP BY Category, date, length_of_review, new_elites)
-SELECT Category, avg(length_of_review) AS length_of_review, new_filtered_elites,
-       count(length_of_review) AS review_counts
-FROM pp GROUP BY Category, new_filtered_elites
-"""
-
-
-def _same(a, b):
-    cols = sorted(a.columns)
-    assert cols == sorted(b.columns)
-    assert rows(a, *cols) == rows(b, *cols)
-
-
-def test_q1_compat_equals_notebook_sql(spark, star):
-    _same(star.q1_bar_compat, spark.sql(NOTEBOOK_Q1))
-
-
-def test_q2_compat_equals_notebook_sql(spark, star):
-    _same(star.q2_bar_compat, spark.sql(NOTEBOOK_Q2))
+
+
+def _tagged():
+    """(category, review) pairs of the literal rows, as plain Python."""
+    roots = {title for _, title, parents in TAXONOMY if not parents}
+    for r in set(REVIEWS):
+        for category in roots & set(re.split(r"\s*,\s*", BUSINESS.get(r[2]) or "")):
+            yield category, r
+
+
+def _means(rows_):
+    """{key: (mean, count)} of (key, length) rows; a missing length counts nowhere."""
+    by = {}
+    for key, length in rows_:
+        by.setdefault(key, []).append(length)
+    kept = {k: [x for x in v if x is not None] for k, v in by.items()}
+    return {k: (sum(v) / len(v) if v else None, len(v)) for k, v in kept.items()}
+
+
+def _length(r):
+    return None if r[4] is None else len(r[4])
+
+
+def test_q1_compat_on_literal_rows(star):
+    grain = {(c, r[1], r[2], _length(r)) for c, r in _tagged()}
+    status = lambda u: "elite" if USERS[u] not in (None, "None") else "non-elite"
+    want = _means(((status(u), c), n) for c, u, _, n in grain)
+    got = {(r["status"], r["Category"]): (r["length_of_reviews"], r["review_count"]) for r in star.q1_bar_compat.collect()}
+    assert got == want
+
+
+def test_q2_compat_on_literal_rows(star):
+    first = {}
+    for c, r in _tagged():
+        if USERS[r[1]] not in (None, "None"):
+            key = (c, _length(r), r[3])
+            year = min(re.split(r"\s*,\s*", USERS[r[1]]))
+            first[key] = min(first.get(key, year), year)
+    label = lambda year, date: "Post-elite review" if year > date else "Pre-elite review"
+    want = _means(((c, label(y, d)), n) for (c, n, d), y in first.items())
+    got = {(r["Category"], r["new_filtered_elites"]): (r["length_of_review"], r["review_counts"]) for r in star.q2_bar_compat.collect()}
+    assert got == want
+
+
+def test_a_review_without_a_year_has_no_label(spark, star):
+    odd = [("r90", "u1", "b1", None, "xx"), ("r91", "u1", "b1", "soon", "yy"), ("r92", "u1", "b1", "2013-01-01", "zz")]
+    a = CohortAnalysis(star.business, spark.createDataFrame(odd, star.review.schema), star.user, star.taxonomy)
+    labels = {r["review_id"]: r["new_filtered_elites"] for r in a.pre_post_labels.collect()}
+    assert labels == {"r90": None, "r91": None, "r92": "Post-elite review"}
+    assert [r["review_counts"] for r in a.q2_bar.collect()] == [1]
+
+
+def test_only_four_digit_entries_are_years(spark, star):
+    users = spark.createDataFrame([("u1", None, "2019,20,20,2021"), ("u2", None, "20")], star.user.schema)
+    a = CohortAnalysis(star.business, star.review, users, star.taxonomy)
+    assert {(r["user_id"], r["first_elite_year"]) for r in a.first_elite_year.collect()} == {("u1", 2019)}
+
+
+def test_unknown_businesses_are_left_out(star):
+    assert {r["business_id"] for r in star.q1_by_business.collect()} <= set(BUSINESS)
+
+
+def test_categories_without_a_reference_cohort_stay(spark, star):
+    users = spark.createDataFrame([(f"u{i}", None, "2012") for i in range(1, 6)], star.user.schema)
+    a = CohortAnalysis(star.business, star.review, users, star.taxonomy)
+    got = a.share_above_q3.collect()
+    assert {r["Category"] for r in got} == {"Food", "Shops"} and {r["share_above_q3"] for r in got} == {None}
+
+
+def test_sides_are_measured_without_a_single_task_limit(star, monkeypatch):
+    seen = []
+    agg = type(star.user).agg
+    monkeypatch.setattr(type(star.user), "agg", lambda self, *a, **k: seen.append(agg(self, *a, **k)) or seen[-1])
+    CohortAnalysis(star.business, star.review, star.user, star.taxonomy)._fits("status")
+    assert seen and all("Limit" not in _plan(df) for df in seen)
 
 
 def test_q1_counts_add_up_to_joined_rows(star):
