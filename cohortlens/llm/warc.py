@@ -201,7 +201,8 @@ def read_records(spark: SparkSession, path: str, selected: DataFrame, with_paylo
         F.col("path").alias("file"), F.regexp_extract("path", r"/archive=(\d+)/", 1).cast("int").alias("archive")
     )
     asked = selected.select("archive", "offset", "length").join(files, "archive")
-    dealt = asked.repartition("archive").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    # A stated number of parts: index rows are small, what they ask for is not.
+    dealt = asked.repartition(max(1, files.count()), "archive").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     kind = "record long, page_id string, record_type string, target long, refers_to string, payload_bytes long, payload_digest string, url string"
     return dealt.mapInArrow(_reader(with_payload), kind + ", payload binary" * with_payload)
 
