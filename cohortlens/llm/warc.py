@@ -1,26 +1,28 @@
 """WARC archives, written with an index first and read back by byte ranges.
 
-Write. Every page becomes one record of a WARC 1.1 file. Of the records whose payloads
-are equal, that with the smallest id is a ``response``; the others are ``revisit`` records
-that name it and carry no payload. Records are dealt to archives of about
-``ARCHIVE_BYTES``, ordered within each, and their byte lengths summed, so the index
-(archive, offset, length, url, digest, record id) is known before a byte is written. The
-files are written by Spark's text writer: its line separator is the two line ends that
-close a WARC record, so the bytes are a plain archive on any file system Spark can write.
+Write. Every page becomes one record of a WARC 1.1 file, a gzip member of its own as is
+usual for such archives. Of the records whose payloads are equal, that with the smallest
+id is a ``response``; the others are ``revisit`` records that name it and carry no
+payload. Each task writes its records to archives of about ``ARCHIVE_BYTES`` and returns
+their index rows (archive, offset, length, url, digest, record id), which are written
+before anything is read. An attempt names its archives anew, and only the index rows of
+the attempt that Spark commits are kept: archives left by lost tasks are never read.
 
 Read. The selected index rows are sorted by (archive, offset); ranges less than ``GAP``
 bytes apart become one read of at most ``READ_BYTES`` (or one record), and the records are
 cut from it and parsed. Payload bytes and digest are computed from the payload that was
-read; a revisit takes them from the response that it names.
+read; a revisit takes them from the response that it names. Archives are opened through
+pyarrow file systems, so ``path`` is a URI or an absolute path that these know.
 
 Payloads below ``min_bytes`` are always responses. A null html is an empty payload; null
 urls are written as ``about:blank``. A null id comes after all others and is written
 as an empty id, so repeated rows and rows with equal ids still give one record each: they
 are told apart by a record number. No rows: no archives. Other columns are not read.
 
-Scale. One shuffle by digest of ids only, one by archive of the records. Equal payloads
-are found with a partial minimum, so a payload held by a third of all pages is one row a
-task; the join back to it is split by adaptive execution. Archives are bounded in bytes.
+Scale. One shuffle by digest of ids only, one of the payloads, by record, to meet their
+plan. Equal payloads are found with a partial minimum, so a payload held by a third of all
+pages is one row a task; the join back to it is split by adaptive execution. Archives are
+bounded in bytes; a task holds one record or a slice of a few MB.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import cut, shared_dir, ship, table
+from cohortlens.llm.common import cut, shared_dir, ship, slices, table
 
 ARCHIVE_BYTES = 16 << 20
 #: Ranges closer than this are read at once, in reads of at most READ_BYTES.
@@ -43,7 +46,7 @@ GAP, READ_BYTES = 64 << 10, 4 << 20
 MIN_BYTES = 0
 #: Fixed date, so that equal input gives equal archives.
 DATE = "2024-01-01T00:00:00Z"
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
 
 _BASE32_HEX, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -77,65 +80,89 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "pa
     )
 
 
-def _clean(url: Column) -> Column:
-    return F.coalesce(F.regexp_replace(url, r"[\r\n]", " "), F.lit("about:blank"))
-
-
-def _head() -> Column:
-    """The header lines of a record, from its plan."""
-    is_copy = F.col("record_type") == "revisit"
-    body = F.when(is_copy, 0).otherwise(F.col("payload_bytes"))
-    urn = lambda c: F.concat(F.lit("<urn:record:"), c.cast("string"), F.lit(">"))
-    return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"),
-        F.lit("\r\nWARC-Record-ID: "), urn(F.col("record")),
-        F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), _clean(F.col("url")),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
-        F.lit("\r\nX-Page-ID: "), F.coalesce(F.col("id").cast("string"), F.lit("")),
-        F.when(
-            is_copy,
-            F.concat(
-                F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "),
-                urn(F.col("target")), F.lit("\r\nX-Refers-To-Page-ID: "), F.coalesce(F.col("refers_to").cast("string"), F.lit("")),
-            ),
-        ).otherwise(F.lit("\r\nContent-Type: text/html")),
-        F.lit("\r\nContent-Length: "), body.cast("string"), F.lit("\r\n\r\n"),
-    )
+def _record(x: dict) -> bytes:
+    """The record of one row of the plan with its html."""
+    copy = x["record_type"] == "revisit"
+    body = b"" if copy else (x["html"] or "").encode()
+    if not copy and _digest(body) != x["payload_digest"]:
+        raise ValueError(f"record {x['record']} is not the page that was planned")
+    url = "about:blank" if x["url"] is None else x["url"].replace("\r", " ").replace("\n", " ")
+    head = [
+        "WARC/1.1", f"WARC-Type: {x['record_type']}", f"WARC-Record-ID: <urn:record:{x['record']}>", f"WARC-Date: {DATE}",
+        f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{x['payload_digest']}", f"X-Page-ID: {x['id'] or ''}",
+    ]
+    if copy:
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: <urn:record:{x['target']}>", f"X-Refers-To-Page-ID: {x['refers_to'] or ''}",
+        ]
+    else:
+        head.append("Content-Type: text/html")
+    head.append(f"Content-Length: {len(body)}")
+    return "\r\n".join(head).encode() + END + body + END
 
 
-def write_index(plan: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Adds archive, offset, length (without the closing line ends) and the header.
+def _digest(body: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(body).digest()).decode()
 
-    Record numbers are dealt to archives by hash, as many as the bytes need."""
-    body = F.when(F.col("record_type") == "revisit", 0).otherwise(F.col("payload_bytes"))
-    sized = plan.withColumn("head", _head()).withColumn("length", F.octet_length("head") + body)
-    total = sized.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    n = max(1, -(-total // archive_bytes))
-    in_order = Window.partitionBy("archive").orderBy("record").rowsBetween(Window.unboundedPreceding, -1)
-    return sized.withColumn("archive", F.pmod(F.xxhash64("record"), F.lit(n)).cast("int")).withColumn(
-        "offset", F.coalesce(F.sum(F.col("length") + len(END)).over(in_order), F.lit(0)).cast("long")
-    )
+
+def _writer(path: str, archive_bytes: int):
+    """Writes the rows of a partition to archives in ``path``; yields their index rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path)
+        attempt, number, out, name = uuid.uuid4().hex, 0, None, ""
+        try:
+            for batch in batches:
+                for part in slices(batch, "html"):
+                    at: list[tuple[str, int, int]] = []
+                    for x in part.to_pylist():
+                        if out is not None and out.tell() >= archive_bytes:
+                            out.close()
+                            out = None
+                        if out is None:
+                            store.create_dir(folder, recursive=True)
+                            name, number = f"{attempt}-{number:05d}.warc.gz", number + 1
+                            out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                        gz = zlib.compressobj(6, zlib.DEFLATED, 31)
+                        member = gz.compress(_record(x)) + gz.flush()
+                        at.append((name, out.tell(), len(member)))
+                        out.write(member)
+                    names, offsets, lengths = zip(*at, strict=True)
+                    kept = part.select(["record", "id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "target"])
+                    yield pa.RecordBatch.from_arrays(
+                        [*kept.columns, pa.array(names, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())],
+                        names=[*kept.schema.names, "archive", "offset", "length"],
+                    )
+        finally:
+            if out is not None:
+                out.close()
+
+    return run
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES,
                    id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes ``path``/warc/archive=N/part-* and ``path``/index; returns the index."""
+    """Writes ``path``/warc/*.warc.gz and ``path``/index; returns the index: record, id,
+    url, payload_bytes, payload_digest, record_type, refers_to, target, archive, offset,
+    length."""
     spark = pages.sparkSession
     shared_dir(spark)
+    ship(spark)
     plan = plan_records(pages, min_bytes, id_col, url_col, html_col)
-    write_index(plan, archive_bytes).write.mode("errorifexists").parquet(f"{path}/index")
-    index = spark.read.parquet(f"{path}/index")
-    # The same scan gives the same record numbers; each is checked against its digest below.
-    payloads = pages.select(F.monotonically_increasing_id().alias("record"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = index.select("record", "archive", "record_type", "head").join(payloads, "record")
-    text = F.concat("head", F.when(F.col("record_type") == "revisit", "").otherwise(F.col("html")))
-    n = index.agg(F.max("archive")).first()[0]
-    (
-        rows.select("archive", "record", text.alias("value"))
-        .repartition(max(1, (n or 0) + 1), "archive").sortWithinPartitions("archive", "record")
-        .select("archive", "value").write.partitionBy("archive").option("lineSep", END).text(f"{path}/warc")
+    # The same scan gives the same record numbers; each response is checked against its digest.
+    payloads = pages.select(F.monotonically_increasing_id().alias("record"), F.col(html_col).alias("html"))
+    rows = plan.withColumns({c: F.col(c).cast("string") for c in ("id", "refers_to")}).join(payloads, "record")
+    rows = rows.select("record", "id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "target", "html")
+    index = rows.mapInArrow(
+        _writer(f"{path}/warc", archive_bytes),
+        "record long, id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, target long, archive string, offset long, length long",
     )
-    return index
+    kind = pages.schema[id_col].dataType
+    index.withColumns({c: F.col(c).cast(kind) for c in ("id", "refers_to")}).write.mode("errorifexists").parquet(f"{path}/index")
+    return spark.read.parquet(f"{path}/index")
 
 
 def _ranges(rows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -150,13 +177,15 @@ def _ranges(rows: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, body = record.partition(b"\r\n\r\n")
+def parse(member: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields and payload of one gzip member."""
+    head, _, rest = zlib.decompress(member, 31).partition(END)
     lines = head.decode("utf-8").split("\r\n")
     fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-    if not lines[0].startswith("WARC/") or len(body) != int(fields["Content-Length"]):
+    n = int(fields.get("Content-Length", -1))
+    if not lines[0].startswith("WARC/") or rest[n:] != END:
         raise ValueError("not a whole WARC record")
-    return fields, body
+    return fields, rest[:n]
 
 
 def _reader(with_payload: bool):
@@ -180,7 +209,7 @@ def _reader(with_payload: bool):
                         for k in range(i, i + count):
                             x, body = parse(block[offsets[k] - begin : offsets[k] - begin + lengths[k]])
                             number = lambda s: int(s[len("<urn:record:") : -1])
-                            digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+                            digest = _digest(body)
                             if x["WARC-Type"] == "response" and f"sha1:{digest}" != x["WARC-Payload-Digest"]:
                                 raise ValueError(f"digest differs in {files[i]} at {offsets[k]}")
                             copy = x["WARC-Type"] == "revisit"
@@ -196,13 +225,11 @@ def _reader(with_payload: bool):
 def read_records(spark: SparkSession, path: str, selected: DataFrame, with_payload: bool = False) -> DataFrame:
     """The records of the ``selected`` index rows (archive, offset, length), read by range."""
     ship(spark)
-    # File names of the archives: one listing by the driver, as Spark does for any table.
-    files = spark.read.format("binaryFile").load(f"{path}/warc").select(
-        F.col("path").alias("file"), F.regexp_extract("path", r"/archive=(\d+)/", 1).cast("int").alias("archive")
-    )
-    asked = selected.select("archive", "offset", "length").join(files, "archive")
+    asked = selected.select(F.concat(F.lit(f"{path}/warc/"), "archive").alias("file"), "offset", "length")
     # A stated number of parts: index rows are small, what they ask for is not.
-    dealt = asked.repartition(max(1, files.count()), "archive").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    total = asked.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    n = max(1, -(-total // ARCHIVE_BYTES))
+    dealt = asked.repartitionByRange(n, "file", "offset").sortWithinPartitions("file", "offset")
     kind = "record long, page_id string, record_type string, target long, refers_to string, payload_bytes long, payload_digest string, url string"
     return dealt.mapInArrow(_reader(with_payload), kind + ", payload binary" * with_payload)
 
