@@ -11,21 +11,21 @@ summaries):
 1. review length is taken in the scan stage; the text never reaches a shuffle;
 2. reviews are deduplicated on ids + length (one shuffle of narrow rows);
 3. the user's status (or first status year) is joined on ``user_id``;
-4. rows are pre-aggregated per (business, cohort) *before* the category fan-out, so
-   a business with k top-level categories costs one row, not k, and a hot business
-   is combined map-side;
-5. the small pre-aggregate is joined to the business -> category table and finished.
+4. where the business -> category side is broadcast, rows fan out to categories in the
+   map task and are combined there, per (cohort, Category): few groups, few rows shuffled;
+5. otherwise rows are aggregated per (business, cohort) before they meet that side.
 
-Steps 3 and 5 broadcast a side only after counting it under a bound; otherwise they
+Steps 3 and 4 broadcast a side only after counting it under a bound; otherwise they
 stay shuffled joins under adaptive execution (runtime broadcast, skew splitting).
-All data-dependent sides (titles, business -> category, user status, first status
-year) are counted together in one bounded job, the first time any is needed.
+Each data-dependent side (titles, business -> category, user status, first status
+year) is measured once, when a query first needs it.
 Summaries keyed by (cohort, category) are bounded by the counted title set times the
 fixed cohorts, so they are broadcast on that proof without a count of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
@@ -39,6 +39,10 @@ from cohortlens.schemas import check_schema
 Q2_LABEL = "new_filtered_elites"
 
 
+def _count_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w"))
+
+
 class CohortAnalysis:
     def __init__(self, business: DataFrame, review: DataFrame, user: DataFrame, taxonomy_df: DataFrame):
         self.business = check_schema(business, "business")
@@ -118,6 +122,20 @@ class CohortAnalysis:
             self.business_top_level.select("business_id", "Category"), self._fits("business_top")
         )
 
+    def _category_pairs_side(self) -> DataFrame:
+        """Like ``_business_top_side``, each pair once even if business rows repeat, so that
+        rows distinct before the fan-out are distinct after it."""
+        pairs = self.business_top_level.select("business_id", "Category").distinct()
+        return broadcast_if(pairs, self._fits("business_top"))
+
+    def _by_category(self, rows: DataFrame, keys: list[str], aggregate: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+        """Partial aggregates by Category and ``keys``, to be combined by the caller. A
+        broadcast business side fans out in the map task, where few groups combine well;
+        otherwise rows are aggregated per business before they meet it."""
+        if self._fits("business_top"):
+            return aggregate(rows.join(self._business_top_side, "business_id"), [*keys, "Category"])
+        return aggregate(rows, ["business_id", *keys]).join(self._business_top_side, "business_id")
+
     # -- reviews -----------------------------------------------------------------
 
     @cached_property
@@ -135,9 +153,16 @@ class CohortAnalysis:
     @cached_property
     def distinct_category_reviews(self) -> DataFrame:
         """The notebook's Q1 deduplication: drops review id and date, so equal-length
-        reviews by one user of one business collapse."""
-        return self.category_reviews.select(
+        reviews by one user of one business collapse. Rows are deduplicated before the
+        fan-out, so the join has an exchange of its own that can be split."""
+        return self._distinct_reviews.join(self._category_pairs_side(), "business_id").select(
             "user_id", "business_id", "Category", "length_of_review"
+        )
+
+    @cached_property
+    def _distinct_reviews(self) -> DataFrame:
+        return self.review.select(
+            "user_id", "business_id", measures.length_column(self.review).alias("length_of_review")
         ).distinct()
 
     # -- users -------------------------------------------------------------------
@@ -174,28 +199,18 @@ class CohortAnalysis:
         )
 
     def _q1_partials(self, compat: bool) -> DataFrame:
-        rows = self.review_lengths
-        if compat:
-            # (user, business, category, length) distinct == (user, business, length)
-            # distinct times the business's category set: deduplicate before the
-            # fan-out, straight from the reviews (the finer review-level dedupe
-            # would be subsumed by this one).
-            rows = self.review.select(
-                "user_id", "business_id", measures.length_column(self.review).alias("length_of_review")
-            ).distinct()
-        with_status = rows.join(self._status_side(compat), "user_id")
-        return summaries.partial_sums(with_status, ["business_id", "status"])
+        # The finer review-level dedupe would be subsumed by the compat one.
+        rows = self._distinct_reviews if compat else self.review_lengths
+        return self._by_category(rows.join(self._status_side(compat), "user_id"), ["status"], summaries.partial_sums)
 
     @cached_property
     def q1_bar(self) -> DataFrame:
         """Mean length and review count per (status, Category), review grain."""
-        tagged = self._q1_partials(compat=False).join(self._business_top_side, "business_id")
-        return summaries.mean_from_partials(tagged, ["status", "Category"])
+        return summaries.mean_from_partials(self._q1_partials(compat=False), ["status", "Category"])
 
     @cached_property
     def q1_bar_compat(self) -> DataFrame:
-        tagged = self._q1_partials(compat=True).join(self._business_top_side, "business_id")
-        return summaries.mean_from_partials(tagged, ["status", "Category"])
+        return summaries.mean_from_partials(self._q1_partials(compat=True), ["status", "Category"])
 
     @cached_property
     def q1_box_rows(self) -> DataFrame:
@@ -203,15 +218,10 @@ class CohortAnalysis:
 
     @cached_property
     def q1_box_summary(self) -> DataFrame:
-        """Exact quartiles per (status, Category), from (business, status, length)
-        counts: the fan-out multiplies count rows, not reviews."""
-        counts = (
-            self.review_lengths.join(self._status_side(), "user_id")
-            .groupBy("business_id", "status", "length_of_review")
-            .agg(F.count(F.lit(1)).alias("_w"))
-        )
-        tagged = counts.join(self._business_top_side, "business_id")
-        return summaries.box_summary(tagged, ["status", "Category"], weight="_w")
+        """Exact quartiles per (status, Category), from counts per length."""
+        rows = self.review_lengths.join(self._status_side(), "user_id")
+        counts = self._by_category(rows, ["status", "length_of_review"], _count_rows)
+        return summaries.box_summary(counts, ["status", "Category"], weight="_w")
 
     @cached_property
     def q1_by_business(self) -> DataFrame:
@@ -235,14 +245,16 @@ class CohortAnalysis:
 
     def _q2_labelled(self) -> DataFrame:
         """Labelled reviews before the category fan-out; those without a label are left out."""
-        return cohorts.pre_post_labels(self.review_lengths, self._first_year_side).filter(F.col(Q2_LABEL).isNotNull())
+        rows = self.review_lengths
+        if self._fits("first_year"):  # users without the status go before the dedupe, which keys on the user
+            holders = F.broadcast(self.first_elite_year.select("user_id"))
+            rows = measures.review_lengths(self.review.join(holders, "user_id", "left_semi"))
+        return cohorts.pre_post_labels(rows, self._first_year_side).filter(F.col(Q2_LABEL).isNotNull())
 
     @cached_property
     def q2_bar(self) -> DataFrame:
-        partials = summaries.partial_sums(self._q2_labelled(), ["business_id", Q2_LABEL])
-        tagged = partials.join(self._business_top_side, "business_id")
         return summaries.mean_from_partials(
-            tagged, ["Category", Q2_LABEL], mean_name="length_of_review", count_name="review_counts"
+            self._by_category(self._q2_labelled(), [Q2_LABEL], summaries.partial_sums), ["Category", Q2_LABEL], mean_name="length_of_review", count_name="review_counts"
         )
 
     @cached_property
@@ -251,24 +263,29 @@ class CohortAnalysis:
 
     @cached_property
     def q2_box_summary(self) -> DataFrame:
-        counts = self._q2_labelled().groupBy("business_id", Q2_LABEL, "length_of_review").agg(
-            F.count(F.lit(1)).alias("_w")
-        )
-        tagged = counts.join(self._business_top_side, "business_id")
-        return summaries.box_summary(tagged, ["Category", Q2_LABEL], weight="_w")
+        counts = self._by_category(self._q2_labelled(), [Q2_LABEL, "length_of_review"], _count_rows)
+        return summaries.box_summary(counts, ["Category", Q2_LABEL], weight="_w")
 
     # -- question 2, the notebook's form ------------------------------------------
 
     @cached_property
     def dated_category_reviews(self) -> DataFrame:
-        return self.category_reviews.select(
-            "user_id", "business_id", "date", "Category", "length_of_review"
+        """Deduplicated before the fan-out, like ``distinct_category_reviews``."""
+        rows = self.review.select(
+            "user_id", "business_id", "date", measures.length_column(self.review).alias("length_of_review")
         ).distinct()
+        return rows.join(self._category_pairs_side(), "business_id").select(
+            "user_id", "business_id", "date", "Category", "length_of_review"
+        )
 
     @cached_property
     def review_years(self) -> DataFrame:
         return measures.review_years(self.dated_category_reviews)
 
+    @cached_property
+    def review_years_compat(self) -> DataFrame:
+        return measures.review_years(self.dated_category_reviews, compat=True)
+
     @cached_property
     def dated_reviews_with_elite(self) -> DataFrame:
         users = self.user_elite_years.select("user_id", "elite", "elites")
@@ -286,8 +303,7 @@ class CohortAnalysis:
 
         A minimum does not change under deduplication, so the review and
         (user, business, date, category, length) dedupes are skipped, and the minimum
-        is taken per (business, length, date) before the category fan-out, then
-        finished per (Category, length, date).
+        is finished per (Category, length, date).
         """
         holders = cohorts.compat_status_holders(self.user_elite_years).select(
             "user_id", F.array_min("elites").alias("_first")
@@ -299,13 +315,11 @@ class CohortAnalysis:
             "date",
             measures.length_column(self.review).alias("length_of_review"),
         )
-        per_business = (
-            rows.join(holders, "user_id")
-            .groupBy("business_id", "length_of_review", "date")
-            .agg(cohorts.min_text(F.col("_first")).alias("_first"))
+        firsts = self._by_category(
+            rows.join(holders, "user_id"), ["length_of_review", "date"],
+            lambda rows, keys: rows.groupBy(*keys).agg(cohorts.min_text(F.col("_first")).alias("_first")),
         )
-        tagged = per_business.join(self._business_top_side, "business_id")
-        return tagged.groupBy("Category", "length_of_review", "date").agg(
+        return firsts.groupBy("Category", "length_of_review", "date").agg(
             cohorts.min_text(F.col("_first")).alias("new_elites")
         )
 

@@ -29,8 +29,8 @@ def _src_review(a: CohortAnalysis) -> DataFrame:
         "user_id",
         "business_id",
         "date",
-        F.sha2("text", 256).alias("text_sha256"),
-        F.length("text").cast("long").alias("text_length"),
+        "text_sha256",
+        F.col("length_of_review").alias("text_length"),
     )
 
 
@@ -138,6 +138,7 @@ QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
     "review_years": lambda a: a.review_years.select(
         "user_id", _long("review_year"), "business_id", "length_of_review"
     ),
+    "review_years_compat": lambda a: a.review_years_compat,
     "dated_reviews_with_elite": _dated_reviews_with_elite,
     "exploded_elite_years": lambda a: a.exploded_elite_years.drop("elites"),
     "first_elite_year_compat": lambda a: a.first_elite_year_compat,

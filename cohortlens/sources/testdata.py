@@ -107,8 +107,9 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spread(table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey"))
     orders = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    documents = table(spark, sf_dir, "documents", "doc_id", "text").withColumn(
-        "length_of_review", F.length("text").cast("long")
+    # What is derived from a whole text is derived per document, before the join.
+    documents = table(spark, sf_dir, "documents", "doc_id", "text").withColumns(
+        {"length_of_review": F.length("text").cast("long"), "text_sha256": F.sha2("text", 256)}
     )
     n_documents = documents.select(F.count(F.lit(1))).scalar()
     keyed = items.join(orders, items.l_orderkey == orders.o_orderkey).select(
@@ -119,7 +120,7 @@ def review(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod(F.col("l_orderkey"), n_documents).alias("doc_id"),
     )
     return keyed.join(documents, "doc_id", "left").select(
-        "review_id", "user_id", "business_id", "date", "text", "length_of_review"
+        "review_id", "user_id", "business_id", "date", "text", "length_of_review", "text_sha256"
     )
 
 

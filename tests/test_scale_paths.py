@@ -1,6 +1,7 @@
 """The paths taken when join sides are too large to broadcast, and hot keys."""
 
 import contextlib
+import re
 
 import pytest
 
@@ -21,6 +22,8 @@ COMPARED = [
     "potential_elite_candidates",
     "length_outliers",
     "q1_by_business",
+    "distinct_category_reviews",
+    "dated_category_reviews",
 ]
 
 
@@ -112,5 +115,26 @@ def test_hot_keys_are_split_and_results_hold(spark, monkeypatch, hot_star):
         a = CohortAnalysis(hot_star.business, hot_star.review, hot_star.user, hot_star.taxonomy)
         for name, want in expected.items():
             assert rows(QUERIES[name](a)) == want, name
-        plan = _final_plan(a.reviews_with_status)
-        assert "skew=true" in plan, plan
+        for name in ["reviews_with_status", "distinct_category_reviews", "dated_category_reviews", "exploded_elite_years"]:
+            plan = _final_plan(getattr(a, name))
+            assert "skew=true" in plan, (name, plan)
+
+
+def _exchanged(df):
+    """The columns that each exchange of the plan carries."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    blocks = re.split(r"\n(?=\(\d+\) )", text)
+    return [re.search(r"(?:Input|Output) \[\d+\]: \[(.*)\]", b)[1] for b in blocks if re.match(r"\(\d+\) Exchange", b)]
+
+
+@pytest.mark.parametrize("name", ["src_review", "review_lengths", "q1_bar", "q2_bar_compat"])
+def test_no_exchange_carries_review_text(spark, name):
+    carried = _exchanged(QUERIES[name](analysis_for(spark, "/root/testdata/sf0.1")))
+    assert carried
+    assert not any(re.search(r"\btext#", c) for c in carried), carried
+
+
+def test_repeated_business_rows_do_not_repeat_distinct_reviews(hot_star):
+    twice = CohortAnalysis(hot_star.business.unionAll(hot_star.business), hot_star.review, hot_star.user, hot_star.taxonomy)
+    for name in ["distinct_category_reviews", "dated_category_reviews"]:
+        assert rows(getattr(twice, name)) == rows(getattr(hot_star, name)), name
