@@ -396,8 +396,8 @@ class CohortAnalysis:
         }
 
     def stage_counts(self) -> DataFrame:
-        """(stage, rows) for every stage, as one union of global counts; shared
-        shuffles between branches are planned once and reused."""
+        """(stage, rows) for every stage, as one union of global counts. The
+        planner reuses a shuffle only where two branches plan it alike."""
         parts = [
             df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("stage"), "rows")
             for name, df in self.stage_frames().items()
