@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import cut, mix, shingles, ship, slices, table, words
+from cohortlens.llm.common import cut_table, mix, shingles, ship, slices, table, words
 
 MIN_WORDS, GRAM, WINDOW = 50, 8, 24
 
@@ -153,9 +153,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     name = F.xxhash64(F.col(id_col), F.col(text_col))
     texts = docs.select(name.alias("doc"), F.col(text_col).alias("text"))
     kind = "key long, doc long, pos int"
-    suffixes = cut(texts.mapInArrow(_suffixes(gram, window, min_words), kind))
+    suffixes = cut_table(texts.mapInArrow(_suffixes(gram, window, min_words), kind))
     met = texts.join(_matches(suffixes), "doc")
-    runs = cut(met.mapInArrow(_runs(gram, window, min_words), kind))
+    runs = cut_table(met.mapInArrow(_runs(gram, window, min_words), kind))
     spans = _matches(runs).mapInArrow(_merge(min_words), "doc long, start_word long, end_word long")
     ids = docs.select(F.col(id_col).alias("id"), name.alias("doc"))
     out = ids.join(spans, "doc").withColumn("n_words", F.col("end_word") - F.col("start_word"))
