@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.plans.pipelines import CohortAnalysis
+from cohortlens.sources.sinks import tsv_lines
 from cohortlens.sources.testdata import load_star
 
 # Parameters of the registered analyses.
@@ -150,6 +151,11 @@ QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
     "category_gap": _category_gap,
     "volume_filter": lambda a: a.volume_filter(VOLUME_MIN_COUNT),
     "potential_elite_candidates": lambda a: a.potential_elite_candidates,
+    # chart files: the lines of the four exports
+    "q1_bar_tsv": lambda a: tsv_lines(a.q1_bar),
+    "q1_box_rows_tsv": lambda a: tsv_lines(a.q1_box_rows),
+    "q2_bar_tsv": lambda a: tsv_lines(a.q2_bar),
+    "q2_box_rows_tsv": lambda a: tsv_lines(a.q2_box_rows),
     # operations
     "stage_counts": lambda a: a.stage_counts(),
 }

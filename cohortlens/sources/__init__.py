@@ -6,7 +6,7 @@ from cohortlens.sources.readers import (
     read_taxonomy,
     read_user,
 )
-from cohortlens.sources.sinks import export_tsv, read_tsv
+from cohortlens.sources.sinks import export_tsv, read_tsv, tsv_lines
 
 __all__ = [
     "export_tsv",
@@ -17,4 +17,5 @@ __all__ = [
     "read_taxonomy",
     "read_tsv",
     "read_user",
+    "tsv_lines",
 ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OPTIONS = {"sep": "\t", "header": "true", "quote": '"', "escape": '"'}
 
@@ -19,6 +20,11 @@ def export_tsv(df: DataFrame, path: str, single_file: bool = False, mode: str =
     df.write.options(**_OPTIONS).mode(mode).csv(path)
 
 
+def tsv_lines(df: DataFrame) -> DataFrame:
+    """``df`` as the lines that ``export_tsv`` writes below its header: one column ``line``."""
+    return df.select(F.to_csv(F.struct(*df.columns), {k: v for k, v in _OPTIONS.items() if k != "header"}).alias("line"))
+
+
 # Read side: an unquoted empty field is null; a quoted empty field ("") is an empty
 # string. The parser maps unquoted empties to ``nullValue``, so it is set to a
 # marker that cannot occur in text, and quoted empties to ``emptyValue``.

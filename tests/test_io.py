@@ -105,6 +105,18 @@ def test_export_charts_round_trip(spark):
     assert read_tsv(spark, paths["q2_box_rows"], "Category string, length_of_review long, new_filtered_elites string").count() == a.q2_box_rows.count()
 
 
+def test_tsv_lines_are_the_written_lines(spark):
+    from cohortlens.sources import tsv_lines
+
+    df = spark.createDataFrame([("a b", 1.5, 2), ('q"t', None, 3), ("t\tb", 0.1, None), (None, 2.0, 4), ("", 3.0, 5)], "c string, m double, n long")
+    path = _tmp() + "/lines"
+    export_tsv(df, path, single_file=True)
+    written = spark.read.text(path).collect()
+    got = sorted(r["line"] for r in tsv_lines(df).collect())
+    assert got == sorted(r["value"] for r in written if r["value"] != "c\tm\tn")
+    assert "a b\t1.5\t2" in got and '"t\tb"\t0.1\t' in got
+
+
 def test_ingest_reviews_partitioned_by_year(spark):
     from cohortlens.sources import ingest_to_parquet
 
