@@ -281,6 +281,25 @@ def test_bm25_and_greedy_fill():
     assert packing.fill([15, 8], lambda s: np.zeros(2), 10) == [(0, 0, 10, 0, 0), (0, 10, 5, 1, 0), (1, 0, 5, 1, 5), (1, 5, 3, 2, 0)]
 
 
+def test_related_documents_share_a_shard(spark):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(300):  # pairs of near copies, far apart in the table
+        w = prose(rng, 120, 20_000)
+        texts.append((w, [*w[:55], *prose(rng, 10, 20_000), *w[65:]]))
+    texts = [" ".join(a) for a, _ in texts] + [" ".join(b) for _, b in texts] + [" ".join(prose(rng, 100, 20_000))] * 200
+    d = docs(spark, texts)
+    got = packing.pack(d, shard_bytes=20_000).collect()
+    check_packing(got, dict(enumerate(texts)))
+    shard = {r.doc_id: r.sequence_id >> 32 for r in got}
+    assert len(set(shard.values())) > 20
+    assert sum(shard[i] == shard[300 + i] for i in range(300)) > 180  # dealt at random: about 10
+    sizes = Counter()
+    for i, s in shard.items():
+        sizes[s] += len(texts[i]) + 16
+    assert max(sizes.values()) <= 21_000  # copies fill as many shards as they need
+
+
 # --- decontamination
 
 
