@@ -9,11 +9,9 @@ hash falls below 1 / (threshold * n), so each run sends it to 1 / threshold buck
 mean, and two linked sets share one bucket a run or more in the mean. A bucket of at most
 ``BUCKET_SETS`` sets is brute-forced. A larger one is split again by tokens chosen afresh
 for its path, up to ``MAX_DEPTH`` levels. One level keeps a linked pair with a chance of
-0.63 a run, two 0.47, three 0.37 (a branching process of mean one), so ``RUNS`` = 16 runs
-miss a pair at the threshold in one of 10^7, 2 * 10^4 and 2 * 10^3 cases; more similar
-pairs, which share more tokens, are missed far less. Before any set is fetched, sets with
-fewer than ``MIN_SHARED`` buckets that another set shares are put aside: a linked pair shares
-16 or more in the mean, fewer than 3 in one of 6 * 10^4 cases.
+0.63 a run, two 0.47, three 0.37 (a branching process of mean one), so ``RUNS`` = 24 runs
+miss a pair at the threshold in one of 2 * 10^10, 4 * 10^6 and 7 * 10^4 cases; more similar
+pairs, which share more tokens, are missed far less. Every set that shares a bucket is fetched.
 
 Brute force is exact. Buckets that share sets are compared as one unit while the unit has at
 most ``UNIT_SETS`` sets, so each set travels once; beyond that each bucket is a unit, and a
@@ -33,8 +31,8 @@ class of null ids only has a null class_id. Repeated rows are copies. Long texts
 whole. No rows: no rows. Columns other than the id and the text are not read.
 
 Scale. Copies collapse by a 128-bit signature of the set before anything is joined. Texts
-are shuffled once, to take the token sets of those that share buckets; further levels and
-the comparison read these sets.
+are shuffled once, to take the token sets of those that share buckets to their units, and
+once more where there are large buckets, whose sets the further levels read.
 """
 
 from __future__ import annotations
@@ -50,7 +48,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import cut, cut_narrow, mix, shingles, ship, slices, table, words
 
 WORDS, THRESHOLD = 5, 0.8
-RUNS, MAX_DEPTH, MIN_SHARED = 16, 3, 3
+RUNS, MAX_DEPTH = 24, 3
 BUCKET_SETS, UNIT_SETS = 1500, 6000
 
 _U = np.uint64
@@ -143,14 +141,18 @@ def _next_level(rate: float):
 
 
 def _with_sets(k: int):
-    """Rows (text, sig, ...) to the same with the token set in place of the text."""
+    """Rows (text, sig, ...) to the same with the token set in place of the text; of
+    repeated rows that a task holds, one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 tokens, offs = token_sets(part.column("text"), k)
                 have = signatures(tokens, offs)
-                ok = [i for i, s in enumerate(part.column("sig").to_pylist()) if s == have[i]]
+                first = {s: i for i, s in reversed(list(enumerate(part.column("sig").to_pylist()))) if s == have[i] and s not in seen}
+                ok = sorted(first.values())
+                seen.update(first)
                 if not ok:
                     continue
                 rest = part.drop_columns(["text"]).take(pa.array(ok))
@@ -160,6 +162,12 @@ def _with_sets(k: int):
     return run
 
 
+def _fetch(texts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Rows (key, sig, ...) with the token set in place of the key."""
+    met = texts.select("key", "text").join(asked, "key").drop("key")
+    return met.mapInArrow(_with_sets(k), met.drop("text").withColumn("tokens", F.lit(None).cast("binary")).schema)
+
+
 def _components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest member that each of ``n`` nodes is connected to by edges a-b."""
     label = np.arange(n)
@@ -304,13 +312,11 @@ def _groups(docs: DataFrame, threshold: float, k: int, runs: int, bucket_sets: i
     classes = cut(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("low"), F.min("key").alias("key"), one))
     level = classes.select(F.explode(F.array_distinct("buckets")).alias("bucket"), "sig")
     shared = level.join(level.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket"), "bucket", "left_semi")
-    some = shared.groupBy("sig").agg(F.collect_list("bucket").alias("buckets")).where(F.size("buckets") >= MIN_SHARED)
+    some = shared.groupBy("sig").agg(F.collect_list("bucket").alias("buckets"))
     some = cut(some.join(classes.select("sig", "key", "copies"), "sig"))
-    asked = texts.select("key", "text").join(some.select("key", "sig", "copies"), "key").select("text", "sig", "copies")
-    sets = cut(asked.mapInArrow(_with_sets(k), "sig binary, copies long, tokens binary").dropDuplicates(["sig"]))
     # (bucket, sig) level by level; those that stay small are leaves.
     level = some.select(F.explode("buckets").alias("bucket"), "sig", F.lit(None).cast("long").alias("parent"))
-    leaves, parents = [], None
+    leaves, parents, sets = [], None, None
     for depth in range(1, MAX_DEPTH + 1):
         # Members are summed exactly, so buckets of the same members have the same sum.
         member = F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("who")
@@ -328,7 +334,9 @@ def _groups(docs: DataFrame, threshold: float, k: int, runs: int, bucket_sets: i
         if depth == MAX_DEPTH or not large.limit(1).count():
             break
         paths = level.join(large, "bucket").groupBy("sig").agg(F.collect_list("bucket").alias("paths"))
-        again = sets.select("sig", "tokens").join(paths, "sig")
+        if sets is None:  # later levels have none but these
+            sets = cut(_fetch(texts, paths.select("sig").join(some.select("sig", "key"), "sig"), k))
+        again = sets.join(paths, "sig")
         level = cut(again.mapInArrow(_next_level(rate), "sig binary, parent long, bucket long").distinct())
         parents = large
     found = leaves[0]
@@ -344,13 +352,16 @@ def _groups(docs: DataFrame, threshold: float, k: int, runs: int, bucket_sets: i
     big = cut(found.join(big, "sig", "left_semi"))
     per_set = big.groupBy("sig").agg(F.sort_array(F.collect_list("bucket")).alias("leaves"))
     big = big.join(per_set, "sig").select("sig", "bucket", F.lit(None).cast("binary").alias("root"), "m", "leaves")
-    work = small.unionByName(big).join(sets, "sig")
+    work = small.unionByName(big)
     # Blocks of a unit that stayed large; a set meets every block once.
     blocks = F.ceil(F.col("m") / bucket_sets).cast("int")
     work = work.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     work = work.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
     work = work.withColumn("whole", F.col("root").isNotNull() & (F.col("blocks") == 1)).drop("other", "m", "blocks")
+    # A set's places ride with its text, so that it is shuffled as a text and as tokens, once each.
+    todo = work.groupBy("sig").agg(F.collect_list(F.struct("bucket", "root", "left", "right", "block", "leaves", "whole")).alias("todo"))
+    work = _fetch(texts, todo.join(some.select("sig", "key", "copies"), "sig"), k).select("sig", "copies", "tokens", F.inline("todo"))
     found = cut_narrow(work.groupBy("bucket", "root", "left", "right").applyInArrow(_brute(exact), "sig binary, to binary, links long, whole boolean"))
     links = found.groupBy("sig").agg(F.sum("links").alias("links"))
     # A unit compared in one task is joined as a whole there; others are joined here.

@@ -199,6 +199,14 @@ def test_join_of_nulls_repeats_and_nothing(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(4, "p q r s t u"), (4, "v")] and kept.columns == docs(spark, []).columns
 
 
+def test_linked_pair_that_shares_few_buckets(spark):
+    # 4 of 5 shingles in common; the pair shares two buckets in the first 16 runs.
+    w = [f"{c}173798" for c in "abcdefghi"]
+    got = jaccard_join.join_groups(docs(spark, [" ".join(w[:8]), " ".join(w)])).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in got) == [(0, 0, 1, 1), (1, 0, 1, 1)]
+    assert jaccard_join.RUNS >= 24  # at depth 3 a run keeps a pair at the threshold with a chance of 0.37
+
+
 def test_blocks_count_every_pair_once():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300).astype(np.uint64)
