@@ -5,7 +5,10 @@ are tiled: the longest common run of words not marked yet is marked on both side
 and again down to ``MIN_MATCH`` words. Longest runs are found by running Karp-Rabin: the
 rolling hashes of all unmarked windows of one length on both sides are compared, and the
 length is halved in on. Tiles may stand in any order, so reordered passages count. The item
-is leaked by a document when its tiles cover ``COVERAGE`` of its words.
+is leaked by a document when its tiles cover ``COVERAGE`` of its words. Words are compared by
+their Unicode case folding without punctuation at both ends, so a passage in capitals or
+with changed punctuation is found; a word of punctuation only stands for itself. Words are
+counted as they stand in the texts.
 
 The join on seeds. Items are taken in blocks of about ``BLOCK_BYTES``; a block's sorted
 seed hashes are broadcast and every document looks its own runs up, so documents are never
@@ -21,6 +24,8 @@ than the id and the text are not read.
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,16 +34,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import mix, shingles, ship, slices, table, words
+from cohortlens.llm.common import mix, shingles, ship, slices, string_bytes, table, words
 
 MIN_MATCH, COVERAGE = 5, 0.5
 BLOCK_BYTES = 16 << 20
 #: Bits of the table that is asked before the sorted seeds.
 FIRST_BITS = 20
 
+#: What is cut off at both ends of a word.
+MARKS = string.punctuation + "".join(c for c in map(chr, range(128, 1 << 16)) if unicodedata.category(c)[0] == "P")
+#: Bytes that folding leaves as they are.
+_KEPT = np.zeros(256, bool)
+_KEPT[[*b"abcdefghijklmnopqrstuvwxyz0123456789"]] = True
+
 _B = np.array([0x9E3779B97F4A7C15], dtype=np.uint64)
 
 
+def fold(word: str) -> str:
+    """The form by which a word is compared."""
+    low = word.casefold()
+    return low.strip(MARKS) or low
+
+
+def folded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash of the folded word) of every word of every text, in order."""
+    data, _ = string_bytes(texts)
+    row, start, end, h = words(texts)
+    odd = np.concatenate([[0], np.cumsum(~_KEPT[data])])
+    at = np.flatnonzero(odd[end] > odd[start])
+    if len(at):
+        _, first, of = np.unique(h[at], return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        spans = zip(start[at[first]].tolist(), end[at[first]].tolist(), strict=True)
+        folded = pa.array([fold(raw[a:b].decode("utf-8")) for a, b in spans], pa.large_string())
+        h[at] = words(folded)[3][of]
+    return row, h
+
+
 def _windows(h: np.ndarray, s: int) -> np.ndarray:
     """Karp-Rabin hashes of all windows of ``s`` words, by doubling."""
     n = len(h) - s + 1
@@ -107,7 +139,7 @@ class Block:
     """The seeds of one block of items."""
 
     def __init__(self, ids: list, texts: list[str], least: int):
-        row, _, _, h = words(pa.array(texts, pa.large_string()))
+        row, h = folded_words(pa.array(texts, pa.large_string()))
         self.ids, self.least = ids, least
         ends = np.searchsorted(row, np.arange(len(ids) + 1))
         self.items = [h[ends[i] : ends[i + 1]] for i in range(len(ids))]
@@ -120,7 +152,7 @@ class Block:
     def leaks(self, texts: pa.Array, coverage: float) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, matched words, item words, tiles) for each leak in some texts."""
         k = self.least
-        row, _, _, h = words(texts)
+        row, h = folded_words(texts)
         at, x = shingles(row, h, k)
         keep = self.maybe[x >> np.uint64(64 - FIRST_BITS)]
         at, x = at[keep], x[keep]

@@ -357,6 +357,18 @@ def test_leaks(spark, block_bytes):
     assert decontaminate.drop_leaks(d, bench.limit(0)).count() == len(texts)
 
 
+def test_leaks_in_capitals_and_with_changed_punctuation(spark):
+    rng = random.Random(8)
+    item = [*prose(rng, 12, 3000), "straße", "Ôter", "λόγος", "don't", *prose(rng, 4, 3000)]
+    marked = [f"“{w}”," if i % 3 == 0 else f"({w})…" if i % 3 == 1 else w for i, w in enumerate(item)]
+    own = prose(rng, 15, 3000)
+    texts = {1: " ".join([*own, *item]).upper(), 2: " ".join([*own, *marked]), 3: " ".join(w.replace("'", "") + "x" for w in item)}
+    bench = spark.createDataFrame([(5, " ".join(item)), (6, "... ... ... ... ...")], "item_id long, text string")
+    got = decontaminate.find_leaks(docs(spark, list(texts.values()), list(texts)), bench).collect()
+    assert {(r.doc_id, r.item_id, r.matched_words, r.item_words, r.n_tiles) for r in got} == {(1, 5, 20, 20, 1), (2, 5, 20, 20, 1)}
+    assert [decontaminate.fold(w) for w in ("«A-B!»", "--", "É", "İ")] == ["a-b", "--", "é", "i̇"]
+
+
 def test_leaks_of_the_table_equal_brute_force(spark):
     d, b = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id): r.matched_words for r in decontaminate.find_leaks(d, b).collect()}
