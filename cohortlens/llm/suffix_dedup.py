@@ -7,13 +7,11 @@ end_word (exclusive), n_words.
 Method. Only suffixes at content-selected positions are retained: the smallest hash of
 ``GRAM`` words in each window of ``WINDOW`` grams. Equal passages select equal positions,
 and every run of ``MIN_WORDS`` words holds one in its first ``WINDOW``, so at least
-``HEAD`` = MIN_WORDS - WINDOW + 1 words of the run follow it. Retained suffixes are brought
-into the order of their first ``HEAD`` words and equal neighbours of different documents
-are matches. Around each match the runs that hold its position, extended left and right to
-``MIN_WORDS`` words, are compared in the same way; overlapping runs make a stretch.
-
-Words are compared by 64-bit hashes of runs. The order of suffixes is that of their hashes:
-any fixed order of words gives the same neighbours.
+``HEAD`` = MIN_WORDS - WINDOW + 1 words of the run follow it. Retained suffixes are grouped
+by a 64-bit hash of their first ``HEAD`` words, and those of different documents in a group
+are matches. Around each match every run of ``MIN_WORDS`` words that holds its position is
+hashed and grouped in the same way; overlapping runs make a stretch. Nothing is sorted and
+no match is extended word by word.
 
 Null and empty texts and texts under ``MIN_WORDS`` words have no stretch. Passages that
 repeat inside one document only are not reported; rows of equal id and text are one
