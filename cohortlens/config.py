@@ -8,6 +8,8 @@ coalescing); ``build_session`` applies it for scripts and tests.
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,13 +53,16 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     The cluster's setting always wins. ``fallback`` is used only where the
-    session has none (tests), and is then installed on the context.
+    session has none (tests), and is then installed on the context. In local mode,
+    where one machine holds everything, a private temporary folder is the last resort.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     chosen = configured or fallback
+    if not chosen and spark.sparkContext.master.startswith("local"):
+        chosen = tempfile.mkdtemp(prefix="cohortlens-ckpt-")
     if not chosen:
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a folder every executor can reach"
@@ -70,3 +75,11 @@ def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
     """Materialise ``df`` into the shared checkpoint folder (survives lost executors)."""
     checkpoint_dir(df.sparkSession, fallback_dir)
     return df.checkpoint(eager=True)
+
+
+def write_stage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared folder and go on from it: columnar
+    and compressed, so later reads take only the columns they use."""
+    path = f"{checkpoint_dir(df.sparkSession, fallback_dir)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

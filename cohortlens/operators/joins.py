@@ -1,7 +1,8 @@
 """Join sides: broadcast only what has been counted small.
 
 A side is broadcast only after it has been measured: one partial aggregate of its row
-count and bytes, so each task sends one row. A summary keyed by a measured category set
+count and bytes, so each task sends one row. Sides derived row by row from an input are
+bounded on that input instead, all in one job, so nothing is computed twice. A summary keyed by a measured category set
 and a fixed set of cohorts needs no measure of its own. Otherwise the side is left to the planner: a shuffled
 join, which adaptive execution may turn into a broadcast once the shuffle has
 measured it, or split when one key is hot.
@@ -10,7 +11,9 @@ measured it, or split when one key is hot.
 from __future__ import annotations
 
 from collections.abc import Callable
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -35,6 +38,21 @@ def measure(df: DataFrame) -> tuple[int, int]:
     return n, total
 
 
+def bounds(sides: dict[str, tuple[DataFrame, Column, Column]]) -> dict[str, tuple[int, int]]:
+    """Upper bounds (rows, bytes) of several sides in one job: for each the input it is
+    derived from, and how many rows and bytes one row of that input can give."""
+    parts = [
+        df.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("size")).select(F.lit(name).alias("side"), "n", "size")
+        for name, (df, n, size) in sides.items()
+    ]
+    return {x["side"]: (x["n"], x["size"]) for x in reduce(DataFrame.unionByName, parts).collect()}
+
+
+def wide(name: str) -> Column:
+    """The bytes of a value, as a relation's row holds it."""
+    return F.coalesce(F.octet_length(F.col(name).cast("string")), F.lit(0)) + 8
+
+
 def fits(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether a side is small enough to broadcast."""
     if max_rows <= 0:

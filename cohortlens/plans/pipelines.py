@@ -3,7 +3,8 @@
 ``CohortAnalysis`` holds the four inputs and exposes every stage of both questions
 as a DataFrame, in the corrected form (default) and in the notebook's own form
 (``*_compat``). Nothing runs until an action is called on a returned frame, apart
-from the bounded row counts that decide which join sides are broadcast.
+from the one job that bounds the join sides, and the written review stage that the
+outlier, share and candidate analyses read twice.
 
 Plan shape of the headline summaries (``q1_bar``, ``q2_bar`` and the box
 summaries):
@@ -17,8 +18,8 @@ summaries):
 
 Steps 3 and 4 broadcast a side only after counting it under a bound; otherwise they
 stay shuffled joins under adaptive execution (runtime broadcast, skew splitting).
-Each data-dependent side (titles, business -> category, user status, first status
-year) is measured once, when a query first needs it.
+The data-dependent sides (titles, business -> category, user status, first status
+year) are bounded together, when a query first needs one, on the inputs they come from.
 Summaries keyed by (cohort, category) are bounded by the counted title set times the
 fixed cohorts, so they are broadcast on that proof without a count of their own.
 """
@@ -26,14 +27,15 @@ fixed cohorts, so they are broadcast on that proof without a count of their own.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.config import write_stage
 from cohortlens.functions.columns import NON_ELITE
 from cohortlens.operators import cohorts, measures, summaries, taxonomy
-from cohortlens.operators.joins import DIMENSION_ROWS, TITLE_ROWS, broadcast_if, fits
+from cohortlens.operators.joins import BROADCAST_BYTES, DIMENSION_ROWS, TITLE_ROWS, bounds, broadcast_if, wide
 from cohortlens.schemas import check_schema
 
 Q2_LABEL = "new_filtered_elites"
@@ -88,19 +90,27 @@ class CohortAnalysis:
 
     # -- join sides -------------------------------------------------------------------
 
+    @cached_property
+    def _bounds(self) -> dict[str, tuple[int, int]]:
+        """Upper bounds (rows, bytes) of the data-dependent join sides, by one job over the
+        three small inputs: a business gives at most a row for each entry of its list, a user
+        one row, a root category one title."""
+        entries = F.when(F.col("categories").isNull(), 0).otherwise(F.length("categories") - F.length(F.replace("categories", F.lit(","))) + 1)
+        user = wide("user_id") + wide("elite") + 8
+        root = F.when(F.size("parents") == 0, 1).otherwise(0)
+        found = bounds(
+            {
+                "business_top": (self.business.select("business_id", "categories"), entries, entries * (wide("business_id") + 8) + wide("categories")),
+                "status": (self.user.select("user_id", "elite"), F.lit(1), user),
+                "titles": (self.taxonomy.select("title", "parents"), root, root * wide("title")),
+            }
+        )
+        return found | {"first_year": found["status"]}
+
     def _fits(self, side: str) -> bool:
-        """Whether a data-dependent join side is small enough to broadcast; each side is
-        measured once, when a query first needs it."""
-        known = self.__dict__.setdefault("_measured", {})
-        if side not in known:
-            frame, bound = {
-                "titles": lambda: (self.top_level_titles, TITLE_ROWS),
-                "business_top": lambda: (self.business_top_level.select("business_id", "Category"), DIMENSION_ROWS),
-                "status": lambda: (self.user.select("user_id", "elite"), DIMENSION_ROWS),
-                "first_year": lambda: (self.first_elite_year, DIMENSION_ROWS),
-            }[side]()
-            known[side] = fits(frame, bound)
-        return known[side]
+        """Whether a data-dependent join side is small enough to broadcast."""
+        n, size = self._bounds[side]
+        return n <= (TITLE_ROWS if side == "titles" else DIMENSION_ROWS) and size <= BROADCAST_BYTES
 
     def _titles_side(self, titles: DataFrame) -> DataFrame:
         return broadcast_if(titles, self._fits("titles"))
@@ -128,13 +138,14 @@ class CohortAnalysis:
         pairs = self.business_top_level.select("business_id", "Category").distinct()
         return broadcast_if(pairs, self._fits("business_top"))
 
-    def _by_category(self, rows: DataFrame, keys: list[str], aggregate: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    def _by_category(self, rows: DataFrame, keys: list[str], aggregate: Callable[[DataFrame, list[str]], DataFrame], side: DataFrame | None = None) -> DataFrame:
         """Partial aggregates by Category and ``keys``, to be combined by the caller. A
         broadcast business side fans out in the map task, where few groups combine well;
         otherwise rows are aggregated per business before they meet it."""
+        side = self._business_top_side if side is None else side
         if self._fits("business_top"):
-            return aggregate(rows.join(self._business_top_side, "business_id"), [*keys, "Category"])
-        return aggregate(rows, ["business_id", *keys]).join(self._business_top_side, "business_id")
+            return aggregate(rows.join(side, "business_id"), [*keys, "Category"])
+        return aggregate(rows, ["business_id", *keys]).join(side, "business_id")
 
     # -- reviews -----------------------------------------------------------------
 
@@ -142,6 +153,11 @@ class CohortAnalysis:
     def review_lengths(self) -> DataFrame:
         return measures.review_lengths(self.review)
 
+    @cached_property
+    def review_grains(self) -> DataFrame:
+        """``review_lengths`` with the flags of the notebook's three coarser deduplications."""
+        return measures.review_grains(self.review)
+
     @cached_property
     def category_reviews(self) -> DataFrame:
         """Review rows tagged with each top-level category of their business (k rows
@@ -201,7 +217,8 @@ class CohortAnalysis:
     def _q1_partials(self, compat: bool) -> DataFrame:
         # The finer review-level dedupe would be subsumed by the compat one.
         rows = self._distinct_reviews if compat else self.review_lengths
-        return self._by_category(rows.join(self._status_side(compat), "user_id"), ["status"], summaries.partial_sums)
+        side = self._category_pairs_side() if compat else None  # that dedupe holds the category
+        return self._by_category(rows.join(self._status_side(compat), "user_id"), ["status"], summaries.partial_sums, side)
 
     @cached_property
     def q1_bar(self) -> DataFrame:
@@ -338,13 +355,28 @@ class CohortAnalysis:
 
     # -- distribution analyses ------------------------------------------------------
 
+    @cached_property
+    def _written_reviews(self) -> DataFrame:
+        """The deduplicated reviews with their status, before the category fan-out, written
+        once in the shared folder: a box summary and the rows held against it both read it."""
+        rows = self.review_lengths.join(self._status_side(), "user_id")
+        return write_stage(rows.select("review_id", "user_id", "business_id", "status", "length_of_review"))
+
+    def _written_rows(self, *columns: str) -> DataFrame:
+        """``reviews_with_status`` rows over the written stage."""
+        return self._written_reviews.join(self._business_top_side, "business_id").select(*columns)
+
+    @cached_property
+    def _written_box(self) -> DataFrame:
+        """``q1_box_summary`` over the written stage."""
+        counts = self._by_category(self._written_reviews, ["status", "length_of_review"], _count_rows)
+        return summaries.box_summary(counts, ["status", "Category"], weight="_w")
+
     @cached_property
     def length_outliers(self) -> DataFrame:
         return summaries.flag_outliers(
-            self.reviews_with_status.select(
-                "status", "Category", "review_id", "user_id", "business_id", "length_of_review"
-            ),
-            self.q1_box_summary,
+            self._written_rows("status", "Category", "review_id", "user_id", "business_id", "length_of_review"),
+            self._written_box,
             ["status", "Category"],
             join_side=self._summary_side,
         )
@@ -352,8 +384,8 @@ class CohortAnalysis:
     @cached_property
     def share_above_q3(self) -> DataFrame:
         return summaries.share_above_reference_q3(
-            self.q1_box_rows,
-            self.q1_box_summary,
+            self._written_rows("status", "Category", "length_of_review"),
+            self._written_box,
             "Category",
             "status",
             NON_ELITE,
@@ -368,38 +400,5 @@ class CohortAnalysis:
 
     @cached_property
     def potential_elite_candidates(self) -> DataFrame:
-        rows = self.reviews_with_status.select("user_id", "Category", "status", "length_of_review")
-        return summaries.promising_users(rows, self.q1_box_summary, join_side=self._summary_side)
-
-    # -- row counts of every stage, in one job ----------------------------------------
-
-    def stage_frames(self) -> dict[str, DataFrame]:
-        return {
-            "business_category_list": self.business_category_list,
-            "business_top_level": self.business_top_level,
-            "review_lengths": self.review_lengths,
-            "category_reviews": self.category_reviews,
-            "distinct_category_reviews": self.distinct_category_reviews,
-            "reviews_with_status_compat": self.reviews_with_status_compat,
-            "q1_bar_compat": self.q1_bar_compat,
-            "dated_category_reviews": self.dated_category_reviews,
-            "review_years": self.review_years,
-            "dated_reviews_with_elite": self.dated_reviews_with_elite,
-            "exploded_elite_years": self.exploded_elite_years,
-            "first_elite_year_compat": self.first_elite_year_compat,
-            "pre_post_labels_compat": self.pre_post_labels_compat,
-            "q2_bar_compat": self.q2_bar_compat,
-            "reviews_with_status": self.reviews_with_status,
-            "q1_bar": self.q1_bar,
-            "pre_post_labels": self.pre_post_labels,
-            "q2_bar": self.q2_bar,
-        }
-
-    def stage_counts(self) -> DataFrame:
-        """(stage, rows) for every stage, as one union of global counts. The
-        planner reuses a shuffle only where two branches plan it alike."""
-        parts = [
-            df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("stage"), "rows")
-            for name, df in self.stage_frames().items()
-        ]
-        return reduce(DataFrame.unionByName, parts)
+        rows = self._written_rows("user_id", "Category", "status", "length_of_review")
+        return summaries.promising_users(rows, self._written_box, join_side=self._summary_side)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.plans.counted import run_counted
 from cohortlens.plans.pipelines import CohortAnalysis
 from cohortlens.sources.sinks import tsv_lines
 from cohortlens.sources.testdata import load_star
@@ -102,6 +103,13 @@ def _category_gap(a: CohortAnalysis) -> DataFrame:
     )
 
 
+def _review_grains(a: CohortAnalysis) -> DataFrame:
+    flags = ["first_of_length", "first_of_year", "first_of_date"]
+    return a.review_grains.select(
+        "user_id", "business_id", "date", "review_id", "length_of_review", _long("review_year"), *[_long(c) for c in flags]
+    )
+
+
 QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
     # sources (adapter output in the analysis's own schema)
     "src_business": lambda a: a.business,
@@ -157,7 +165,8 @@ QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
     "q2_bar_tsv": lambda a: tsv_lines(a.q2_bar),
     "q2_box_rows_tsv": lambda a: tsv_lines(a.q2_box_rows),
     # operations
-    "stage_counts": lambda a: a.stage_counts(),
+    "stage_counts": lambda a: run_counted(a).to_frame(a.review.sparkSession),
+    "review_grains": _review_grains,
 }
 
 
