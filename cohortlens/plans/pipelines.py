@@ -214,20 +214,24 @@ class CohortAnalysis:
             "user_id", "Category", "length_of_review", "elite", "status"
         )
 
-    def _q1_partials(self, compat: bool) -> DataFrame:
+    def q1_partials(self, compat: bool = False) -> DataFrame:
+        """Mergeable sums behind ``q1_bar``."""
         # The finer review-level dedupe would be subsumed by the compat one.
         rows = self._distinct_reviews if compat else self.review_lengths
         side = self._category_pairs_side() if compat else None  # that dedupe holds the category
         return self._by_category(rows.join(self._status_side(compat), "user_id"), ["status"], summaries.partial_sums, side)
 
+    def q1_partials_compat(self) -> DataFrame:
+        return self.q1_partials(compat=True)
+
     @cached_property
     def q1_bar(self) -> DataFrame:
         """Mean length and review count per (status, Category), review grain."""
-        return summaries.mean_from_partials(self._q1_partials(compat=False), ["status", "Category"])
+        return summaries.mean_from_partials(self.q1_partials(), ["status", "Category"])
 
     @cached_property
     def q1_bar_compat(self) -> DataFrame:
-        return summaries.mean_from_partials(self._q1_partials(compat=True), ["status", "Category"])
+        return summaries.mean_from_partials(self.q1_partials_compat(), ["status", "Category"])
 
     @cached_property
     def q1_box_rows(self) -> DataFrame:
@@ -268,10 +272,14 @@ class CohortAnalysis:
             rows = measures.review_lengths(self.review.join(holders, "user_id", "left_semi"))
         return cohorts.pre_post_labels(rows, self._first_year_side).filter(F.col(Q2_LABEL).isNotNull())
 
+    def q2_partials(self) -> DataFrame:
+        """Mergeable sums behind ``q2_bar``."""
+        return self._by_category(self._q2_labelled(), [Q2_LABEL], summaries.partial_sums)
+
     @cached_property
     def q2_bar(self) -> DataFrame:
         return summaries.mean_from_partials(
-            self._by_category(self._q2_labelled(), [Q2_LABEL], summaries.partial_sums), ["Category", Q2_LABEL], mean_name="length_of_review", count_name="review_counts"
+            self.q2_partials(), ["Category", Q2_LABEL], mean_name="length_of_review", count_name="review_counts"
         )
 
     @cached_property

@@ -6,13 +6,17 @@ columns are bigint, so results compare cleanly with other engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.config import checkpoint_dir
+from cohortlens.plans.colocated import ColocatedAnalysis
 from cohortlens.plans.counted import run_counted
 from cohortlens.plans.pipelines import CohortAnalysis
+from cohortlens.sources.colocated import ingest
 from cohortlens.sources.sinks import tsv_lines
 from cohortlens.sources.testdata import load_star
 
@@ -80,8 +84,8 @@ def _pre_post_labels(a: CohortAnalysis) -> DataFrame:
     )
 
 
-def _dated_reviews_with_elite(a: CohortAnalysis) -> DataFrame:
-    return a.dated_reviews_with_elite.select(
+def _elite_list(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "date",
         "length_of_review",
         "business_id",
@@ -110,6 +114,15 @@ def _review_grains(a: CohortAnalysis) -> DataFrame:
     )
 
 
+def _colocated(a: CohortAnalysis, key: str) -> ColocatedAnalysis:
+    """The analysis over tables in buckets of ``key``, written into the shared folder. The
+    adapter's reviews carry their measure, so their repeated texts are not copied."""
+    folder = f"{checkpoint_dir(a.review.sparkSession)}/colocated-{uuid.uuid4().hex}"
+    reviews = a.review.select("review_id", "user_id", "business_id", "date", "length_of_review")
+    tables = ingest(reviews, a.user if key == "user_id" else a.business, key, folder)
+    return ColocatedAnalysis(tables, a.business, a.user, a.taxonomy)
+
+
 QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
     # sources (adapter output in the analysis's own schema)
     "src_business": lambda a: a.business,
@@ -148,7 +161,7 @@ QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
         "user_id", _long("review_year"), "business_id", "length_of_review"
     ),
     "review_years_compat": lambda a: a.review_years_compat,
-    "dated_reviews_with_elite": _dated_reviews_with_elite,
+    "dated_reviews_with_elite": lambda a: _elite_list(a.dated_reviews_with_elite),
     "exploded_elite_years": lambda a: a.exploded_elite_years.drop("elites"),
     "first_elite_year_compat": lambda a: a.first_elite_year_compat,
     "pre_post_labels_compat": lambda a: a.pre_post_labels_compat,
@@ -164,6 +177,12 @@ QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
     "q1_box_rows_tsv": lambda a: tsv_lines(a.q1_box_rows),
     "q2_bar_tsv": lambda a: tsv_lines(a.q2_bar),
     "q2_box_rows_tsv": lambda a: tsv_lines(a.q2_box_rows),
+    # over tables in buckets of the join key
+    "category_reviews_colocated": lambda a: _colocated(a, "business_id").rows("category_reviews"),
+    "reviews_with_status_colocated": lambda a: _colocated(a, "user_id").rows("reviews_with_status"),
+    "dated_reviews_with_elite_colocated": lambda a: _elite_list(_colocated(a, "user_id").rows("dated_reviews_with_elite")),
+    "q1_bar_colocated": lambda a: _colocated(a, "user_id").q1_bar,
+    "q2_bar_colocated": lambda a: _colocated(a, "user_id").q2_bar,
     # operations
     "stage_counts": lambda a: run_counted(a).to_frame(a.review.sparkSession),
     "review_grains": _review_grains,
