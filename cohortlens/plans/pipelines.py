@@ -36,6 +36,7 @@ from cohortlens.config import write_stage
 from cohortlens.functions.columns import NON_ELITE
 from cohortlens.operators import cohorts, measures, summaries, taxonomy
 from cohortlens.operators.joins import BROADCAST_BYTES, DIMENSION_ROWS, TITLE_ROWS, bounds, broadcast_if, wide
+from cohortlens.operators.runtime_filter import keep_known
 from cohortlens.schemas import check_schema
 
 Q2_LABEL = "new_filtered_elites"
@@ -264,12 +265,23 @@ class CohortAnalysis:
         the review has no year."""
         return cohorts.pre_post_labels(self.category_reviews, self._first_year_side)
 
+    @cached_property
+    def _narrow_reviews(self) -> DataFrame:
+        return self.review.select(
+            "user_id", "date", "business_id", "review_id", measures.length_column(self.review).alias("length_of_review")
+        )
+
+    def _reviews_of(self, holders: DataFrame, side: str) -> DataFrame:
+        """The reviews of some users, chosen before the dedupe: by a broadcast where the users
+        were measured small, else by a sized Bloom filter below the shuffle."""
+        users = holders.select("user_id")
+        if self._fits(side):
+            return self._narrow_reviews.join(F.broadcast(users), "user_id", "left_semi")
+        return keep_known(self._narrow_reviews, users, "user_id")
+
     def _q2_labelled(self) -> DataFrame:
         """Labelled reviews before the category fan-out; those without a label are left out."""
-        rows = self.review_lengths
-        if self._fits("first_year"):  # users without the status go before the dedupe, which keys on the user
-            holders = F.broadcast(self.first_elite_year.select("user_id"))
-            rows = measures.review_lengths(self.review.join(holders, "user_id", "left_semi"))
+        rows = measures.review_lengths(self._reviews_of(self.first_elite_year, "first_year"))
         return cohorts.pre_post_labels(rows, self._first_year_side).filter(F.col(Q2_LABEL).isNotNull())
 
     def q2_partials(self) -> DataFrame:
@@ -333,13 +345,9 @@ class CohortAnalysis:
         holders = cohorts.compat_status_holders(self.user_elite_years).select(
             "user_id", F.array_min("elites").alias("_first")
         )
-        holders = broadcast_if(holders, self._fits("status"))
-        rows = self.review.select(
-            "user_id",
-            "business_id",
-            "date",
-            measures.length_column(self.review).alias("length_of_review"),
-        )
+        small = self._fits("status")
+        rows = self._narrow_reviews if small else self._reviews_of(holders, "status")
+        holders = broadcast_if(holders, small)
         firsts = self._by_category(
             rows.join(holders, "user_id"), ["length_of_review", "date"],
             lambda rows, keys: rows.groupBy(*keys).agg(cohorts.min_text(F.col("_first")).alias("_first")),
