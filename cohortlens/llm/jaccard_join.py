@@ -11,16 +11,23 @@ mean, and two linked sets share one bucket a run or more in the mean. A bucket o
 for its path, up to ``MAX_DEPTH`` levels. One level keeps a linked pair with a chance of
 0.63 a run, two 0.47, three 0.37 (a branching process of mean one), so ``RUNS`` = 24 runs
 miss a pair at the threshold in one of 2 * 10^10, 4 * 10^6 and 7 * 10^4 cases; more similar
-pairs, which share more tokens, are missed far less. Every set that shares a bucket is fetched.
-
-Brute force is exact. Buckets that share sets are compared as one unit while the unit has at
-most ``UNIT_SETS`` sets, so each set travels once; beyond that each bucket is a unit, and a
-pair counts in the smallest bucket that both sets share. Inside a unit the rarest tokens of
-every set (as many as a linked set can lack) link candidates; every group of candidates is
-compared by exact intersections. A unit of over ``BUCKET_SETS`` sets (near copies of one text
-share their tokens, however they are split) is compared in blocks, one task for each pair of
-blocks. Pairs are not written: a task returns one row a set, with its number of links and
-the smallest set it is joined to.
+pairs, which share more tokens, are missed far less.
+
+Chance meetings. Most sets that share a bucket have one passage in common and no more. Each
+set has a sketch: how many of its tokens fall in each of some bins, about n / 8 bytes. The sum
+over the bins of the smaller count is never below the intersection, so it rules pairs out
+exactly. Small buckets are parted where sizes or sketches rule out every pair, and only sets
+with a possible partner are fetched. What is fetched grows with the near copies, not with the
+chance meetings, which grow faster than the corpus.
+
+Brute force is exact. Parts that share sets form a unit, which is compared whole, so each set
+travels once; a unit of over ``UNIT_SETS`` sets whose buckets take less than its square (a long
+chain) is compared by bucket, and a pair counts in the smallest bucket that both sets
+share. Inside a unit the rarest tokens of every set (as many as a linked set can lack) link
+candidates; every group of candidates is compared by exact intersections. Over ``BUCKET_SETS``
+sets (near copies of one text share their tokens, however they are split) are compared in
+blocks, one task for each pair of blocks. Pairs are not written: a task returns one row a
+set, with its number of links and the smallest set it is joined to.
 
 Result: a row for each input row: id, class_id (smallest id of all texts connected by
 links or copies), n_links (other rows that are copies or linked), n_copies (rows with an
@@ -31,7 +38,7 @@ class of null ids only has a null class_id. Repeated rows are copies. Long texts
 whole. No rows: no rows. Columns other than the id and the text are not read.
 
 Scale. Copies collapse by a 128-bit signature of the set before anything is joined. Texts
-are shuffled once, to take the token sets of those that share buckets to their units, and
+are shuffled once, to take the token sets of those with a possible partner to their units, and
 once more where there are large buckets, whose sets the further levels read.
 """
 
@@ -39,17 +46,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import cut, cut_narrow, mix, shingles, ship, slices, table, words
+from cohortlens.llm.common import cut, cut_narrow, mix, parts, shingles, ship, slices, table, words
 
 WORDS, THRESHOLD = 5, 0.8
 RUNS, MAX_DEPTH = 24, 3
 BUCKET_SETS, UNIT_SETS = 1500, 6000
+#: Bins of a set's sketch.
+MIN_BINS, MAX_BINS = 64, 4096
 
 _U = np.uint64
 _FULL = float(2**64)
@@ -94,6 +104,19 @@ def _limit(sizes: np.ndarray, rate: float) -> np.ndarray:
     return np.minimum(_FULL - 2048, _FULL * rate / np.maximum(sizes, 1)).astype(np.uint64)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens fall in each of 2^i bins, about 8 a bin: the sum over the bins of the
+    smaller of two sets' counts is never below their intersection."""
+    bins = min(MAX_BINS, max(MIN_BINS, 1 << max(0, len(tokens) // 8 - 1).bit_length()))
+    counts = np.bincount((tokens & _U(bins - 1)).astype(np.int64), minlength=bins)
+    t = np.uint8 if counts.max(initial=0) < 256 else np.uint32
+    return bytes([np.dtype(t).itemsize]) + counts.astype(t).tobytes()
+
+
+def _counts(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if data[0] == 1 else np.uint32, offset=1).astype(np.int64)
+
+
 def _first_level(k: int, rate: float, runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,8 +136,9 @@ def _first_level(k: int, rate: float, runs: int):
                 starts = np.searchsorted(who[order], np.arange(len(sizes) + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), part.column("id"), pa.array(signatures(tokens, offs), pa.binary()), pa.array(sizes, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(starts), pa.array(bucket[order].view(np.int64)))],
-                    names=["key", "id", "sig", "n", "buckets"],
+                     pa.ListArray.from_arrays(pa.array(starts), pa.array(bucket[order].view(np.int64))),
+                     pa.array([sketch(tokens[a:b]) for a, b in zip(offs, offs[1:], strict=False)], pa.binary())],
+                    names=["key", "id", "sig", "n", "buckets", "sketch"],
                 )
 
     return run
@@ -225,6 +249,69 @@ def compare(sets: list[np.ndarray], weights: np.ndarray, seen: list[np.ndarray],
     return links, _components(m, a, b)
 
 
+def may_be_linked(n: np.ndarray, group: np.ndarray, sketches: list[bytes], threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within a group that their sizes and sketches don't rule out. Rows are sorted by
+    group and size. No pair at the threshold is left out."""
+    t, u = threshold.numerator, threshold.denominator
+    rough = np.array([_counts(c).reshape(-1, MIN_BINS).sum(0) for c in sketches]).reshape(len(n), MIN_BINS)
+    active, found_a, found_b, d = np.arange(len(n)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while True:
+        d += 1
+        active = active[active + d < len(n)]
+        other = active + d
+        active = active[(group[active] == group[other]) & (u * n[active] >= t * n[other])]  # holds for no larger d where it fails
+        if not len(active):
+            return np.concatenate(found_a), np.concatenate(found_b)
+        other = active + d
+        need = t * (n[active] + n[other])  # inter / (both - inter) >= t / u
+        pass_ = np.flatnonzero((u + t) * np.minimum(rough[active], rough[other]).sum(1) >= need)
+        fine = []
+        for i in pass_.tolist():
+            x, y = _counts(sketches[active[i]]), _counts(sketches[other[i]])
+            bins = min(len(x), len(y))
+            both = np.minimum(x.reshape(-1, bins).sum(0), y.reshape(-1, bins).sum(0)).sum()
+            if bins == MIN_BINS or (u + t) * both >= need[i]:
+                fine.append(i)
+        found_a.append(active[fine])
+        found_b.append(other[fine])
+
+
+def _part_buckets(threshold: Fraction):
+    """Rows (bucket, sig, n, sketch), sorted by all but the last, to (bucket, sig, to, m): each
+    bucket in parts between which no pair can be linked, without sets that can be in none.
+    ``to`` is the part's first set, ``m`` its number of sets."""
+
+    def part(t: pa.Table) -> pa.RecordBatch:
+        bucket = t.column("bucket").to_numpy().astype(np.int64)
+        sig = t.column("sig").to_pylist()
+        n = t.column("n").to_numpy().astype(np.int64)
+        a, b = may_be_linked(n, bucket, t.column("sketch").to_pylist(), threshold)
+        label = _components(len(n), a, b)
+        size = np.bincount(label, minlength=len(n))
+        out = np.flatnonzero(size[label] > 1)
+        first = label[out]
+        start = np.searchsorted(bucket, bucket[first])  # names the part by its first set's place in the bucket
+        new = mix(bucket[out].view(np.uint64) + (first - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(new.view(np.int64)), pa.array([sig[i] for i in out], pa.binary()), pa.array([sig[i] for i in first], pa.binary()), pa.array(size[first])],
+            names=["bucket", "sig", "to", "m"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if left is None else pa.concat_tables([left, pa.Table.from_batches([batch])])
+            bucket = rows.column("bucket").to_numpy()
+            whole = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0  # the last bucket may go on
+            if whole:
+                yield part(rows.slice(0, whole))
+            left = rows.slice(whole)
+        if left is not None and left.num_rows:
+            yield part(left)
+
+    return run
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """All intersection sizes of a few sets, as products of slices of a 0-1 matrix."""
     m = len(sets)
@@ -277,11 +364,15 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(F.col(text_col)).cast("string"))
 
 
-def connect(edges: DataFrame) -> DataFrame:
+def connect(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(sig, root): the smallest signature that each is connected to. Rounds of taking the
-    smallest neighbour's root, then the root's root, until nothing changes."""
+    smallest neighbour's root, then the root's root, until nothing changes. ``nodes``: also
+    those without an edge to another."""
     both = cut_narrow(edges.select("sig", "to").union(edges.select("to", "sig")).where("sig <> to").distinct())
-    roots = cut_narrow(both.groupBy("sig").agg(F.min("to").alias("m")).select("sig", F.least("sig", "m").alias("root")))
+    roots = both.groupBy("sig").agg(F.min("to").alias("m")).select("sig", F.least("sig", "m").alias("root"))
+    if nodes is not None:
+        roots = roots.unionByName(nodes.select("sig", F.col("sig").alias("root"))).groupBy("sig").agg(F.min("root").alias("root"))
+    roots = cut_narrow(roots)
     while True:
         near = both.join(roots.select(F.col("sig").alias("to"), F.col("root").alias("r")), "to").groupBy("sig").agg(F.min("r").alias("r"))
         new = roots.join(near, "sig", "left").select("sig", F.col("root").alias("old"), F.least("root", F.coalesce("r", "root")).alias("root"))
@@ -307,16 +398,17 @@ def _groups(docs: DataFrame, threshold: float, k: int, runs: int, bucket_sets: i
     rate = 1 / threshold
     idt = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = cut(texts.mapInArrow(_first_level(k, rate, runs), f"key string, id {idt}, sig binary, n long, buckets array<bigint>"))
-    one = F.min_by("buckets", "key").alias("buckets")  # equal sets have equal buckets
-    classes = cut(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("low"), F.min("key").alias("key"), one))
+    rows = cut(texts.mapInArrow(_first_level(k, rate, runs), f"key string, id {idt}, sig binary, n long, buckets array<bigint>, sketch binary"))
+    one = [F.min_by(c, "key").alias(c) for c in ("n", "buckets", "sketch")]  # equal sets have equal ones
+    classes = cut(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("low"), F.min("key").alias("key"), *one))
+    rows = rows.drop("n", "buckets", "sketch")
     level = classes.select(F.explode(F.array_distinct("buckets")).alias("bucket"), "sig")
     shared = level.join(level.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket"), "bucket", "left_semi")
     some = shared.groupBy("sig").agg(F.collect_list("bucket").alias("buckets"))
-    some = cut(some.join(classes.select("sig", "key", "copies"), "sig"))
+    some = cut(some.join(classes.select("sig", "key", "copies", "n", "sketch"), "sig"))
     # (bucket, sig) level by level; those that stay small are leaves.
     level = some.select(F.explode("buckets").alias("bucket"), "sig", F.lit(None).cast("long").alias("parent"))
-    leaves, parents, sets = [], None, None
+    leaves, heaps, parents, sets = [], [], None, None
     for depth in range(1, MAX_DEPTH + 1):
         # Members are summed exactly, so buckets of the same members have the same sum.
         member = F.sum(F.xxhash64("sig").cast("decimal(20,0)")).alias("who")
@@ -327,32 +419,52 @@ def _groups(docs: DataFrame, threshold: float, k: int, runs: int, bucket_sets: i
         else:
             stuck = F.lit(False)
         sizes = cut(sizes.withColumn("stuck", stuck))
-        go_on = (F.col("m") > bucket_sets) & ~F.col("stuck") if depth < MAX_DEPTH else F.lit(False)
+        small = F.col("m") <= bucket_sets
+        go_on = ~small & ~F.col("stuck") if depth < MAX_DEPTH else F.lit(False)
         leaf = sizes.where(~go_on).groupBy("who", "m").agg(F.min("bucket").alias("bucket"))
-        leaves.append(level.join(leaf.select("bucket", "m"), "bucket").select("bucket", "sig", "m"))
+        leaves.append(level.join(leaf.where(small).select("bucket"), "bucket", "left_semi").select("bucket", "sig"))
+        heaps.append(level.join(leaf.where(~small).select("bucket"), "bucket", "left_semi").select("bucket", "sig"))
         large = sizes.where(go_on).select("bucket", "m")
         if depth == MAX_DEPTH or not large.limit(1).count():
             break
-        paths = level.join(large, "bucket").groupBy("sig").agg(F.collect_list("bucket").alias("paths"))
+        paths = level.join(large.select("bucket"), "bucket", "left_semi").groupBy("sig").agg(F.collect_list("bucket").alias("paths"))
         if sets is None:  # later levels have none but these
             sets = cut(_fetch(texts, paths.select("sig").join(some.select("sig", "key"), "sig"), k))
         again = sets.join(paths, "sig")
         level = cut(again.mapInArrow(_next_level(rate), "sig binary, parent long, bucket long").distinct())
         parents = large
-    found = leaves[0]
-    for x in leaves[1:]:
-        found = found.unionByName(x)
-    found = cut_narrow(found)
-    # Units: buckets that share sets, while these are few.
-    least = found.groupBy("bucket").agg(F.min("sig").alias("to"))
-    unit = connect(found.join(least, "bucket").select("sig", "to"))
-    unit = unit.join(unit.groupBy("root").agg(F.count(F.lit(1)).alias("m")), "root").select("sig", F.xxhash64("root").alias("unit"), "root", "m")
-    small = unit.where(F.col("m") <= UNIT_SETS).select("sig", F.col("unit").alias("bucket"), "root", "m", F.array().cast("array<bigint>").alias("leaves"))
-    big = unit.where(F.col("m") > UNIT_SETS).select("sig")
-    big = cut(found.join(big, "sig", "left_semi"))
-    per_set = big.groupBy("sig").agg(F.sort_array(F.collect_list("bucket")).alias("leaves"))
-    big = big.join(per_set, "sig").select("sig", "bucket", F.lit(None).cast("binary").alias("root"), "m", "leaves")
-    work = small.unionByName(big)
+    # Small buckets are parted where no pair can be linked; the sets of those that stayed large keep a list of them.
+    found = reduce(DataFrame.unionByName, leaves).join(some.select("sig", "n", "sketch"), "sig").select("bucket", "n", "sig", "sketch")
+    found = found.repartition(parts(spark), "bucket").sortWithinPartitions("bucket", "n", "sig")
+    found = cut_narrow(found.mapInArrow(_part_buckets(exact), "bucket long, sig binary, to binary, m long"))
+    heap = cut_narrow(reduce(DataFrame.unionByName, heaps).groupBy("sig").agg(F.sort_array(F.collect_list("bucket")).alias("heaps")))
+    # Units: parts and large buckets that share sets. Large buckets that share a set are joined first, as these are few.
+    edges, costs = found.select("sig", "to"), found.select("sig", "m")
+    if heap.limit(1).count():
+        of = heap.select(F.explode("heaps").alias("sig"), F.col("heaps")[0].alias("to")).distinct()
+        of = connect(of, of.select("sig").distinct()).select(F.col("sig").alias("bucket"), F.col("root").alias("heap"))
+        in_heap = heap.select("sig", F.col("heaps")[0].alias("bucket"), F.size("heaps").alias("times")).join(of, "bucket").drop("bucket")
+        in_heap = cut_narrow(in_heap)
+        least = in_heap.groupBy("heap").agg(F.min("sig").alias("to"), F.count(F.lit(1)).alias("m"))
+        in_heap = in_heap.join(least, "heap")
+        edges = edges.unionByName(in_heap.select("sig", "to"))
+        costs = costs.unionByName(in_heap.select("sig", (F.col("m") * F.col("times")).alias("m")))
+    unit = connect(edges)
+    # A unit is compared whole, or by its buckets where that is less: a long chain of small ones.
+    costs = costs.groupBy("sig").agg(F.sum("m").alias("cost"))
+    unit = unit.join(costs, "sig", "left")
+    sums = unit.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("cost").alias("cost"))
+    unit = cut_narrow(unit.drop("cost").join(sums, "root"))
+    whole = (F.col("m") <= UNIT_SETS) | (F.col("m") * F.col("m") <= 4 * F.col("cost"))
+    small = unit.where(whole).select("sig", F.xxhash64("root").alias("bucket"), "root", "m", F.array().cast("array<bigint>").alias("leaves"))
+    big = unit.where(~whole).select("sig")
+    if big.limit(1).count():
+        all_of = found.select("bucket", "sig").unionByName(heap.select(F.explode("heaps").alias("bucket"), "sig"))
+        big = cut(all_of.join(big, "sig", "left_semi"))
+        per_set = big.groupBy("sig").agg(F.sort_array(F.collect_list("bucket")).alias("leaves"))
+        big = big.join(big.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "bucket").join(per_set, "sig")
+        small = small.unionByName(big.select("sig", "bucket", F.lit(None).cast("binary").alias("root"), "m", "leaves"))
+    work = small
     # Blocks of a unit that stayed large; a set meets every block once.
     blocks = F.ceil(F.col("m") / bucket_sets).cast("int")
     work = work.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
@@ -365,9 +477,9 @@ def _groups(docs: DataFrame, threshold: float, k: int, runs: int, bucket_sets: i
     found = cut_narrow(work.groupBy("bucket", "root", "left", "right").applyInArrow(_brute(exact), "sig binary, to binary, links long, whole boolean"))
     links = found.groupBy("sig").agg(F.sum("links").alias("links"))
     # A unit compared in one task is joined as a whole there; others are joined here.
-    roots, parts = found.where("whole").select("sig", F.col("to").alias("root")), found.where("not whole")
-    if parts.limit(1).count():
-        roots = roots.unionByName(connect(parts))
+    roots, apart = found.where("whole").select("sig", F.col("to").alias("root")), found.where("not whole")
+    if apart.limit(1).count():
+        roots = roots.unionByName(connect(apart))
     named = classes.join(roots, "sig", "left").join(links, "sig", "left")
     named = named.select("sig", "copies", "low", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sig").alias("root"))
     low = named.groupBy("root").agg(F.min("low").alias("class_id"))

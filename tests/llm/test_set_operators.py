@@ -408,3 +408,50 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(h) == set(g) and all(("AKIA" not in h[i]) for i in h)
     assert all(h[i] == g[i] for i in g if "[SECRET]" not in h[i])
     assert check_packing(corpus_pipeline.run(spark, SMALL).collect(), h) > 0.95
+
+
+def test_sketches_rule_out_no_pair_at_the_threshold():
+    from fractions import Fraction
+
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 2, 5, 9, 40, 300, 700, 3000, 40000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        for lose in (0, 0.02, 0.1, 0.11, 0.12, 0.2, 0.5):
+            cut = int(round(n * lose))
+            sets.append(np.unique(np.concatenate([base[cut:], rng.integers(0, 2**63, cut).astype(np.uint64)])))
+            sets.append(np.unique(base[cut:]) if cut < n else base)
+    sets.sort(key=len)
+    n = np.array([len(x) for x in sets])
+    a, b = jaccard_join.may_be_linked(n, np.zeros(len(n), np.int64), [jaccard_join.sketch(x) for x in sets], Fraction(4, 5))
+    kept = set(zip(a.tolist(), b.tolist()))
+    linked = {(i, j) for i, j in combinations(range(len(sets)), 2) if 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (n[i] + n[j])}
+    assert linked <= kept
+    far = [(i, j) for i, j in combinations(range(len(sets)), 2) if n[i] >= 300 and not len(np.intersect1d(sets[i], sets[j]))]
+    assert not kept & set(far)  # sets without a common token are told apart
+
+
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_buckets_are_parted_alike_however_the_rows_come(batch):
+    from fractions import Fraction
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for bucket in (-5, 3, 9, 12):
+        for _ in range(3):
+            base = rng.integers(0, 2**63, 200).astype(np.uint64)
+            for _ in range(int(rng.integers(1, 4))):
+                x = np.unique(np.concatenate([base[:190], rng.integers(0, 2**63, 10).astype(np.uint64)]))
+                rows.append((bucket, len(x), rng.bytes(16), jaccard_join.sketch(x), base[0]))
+    rows.sort(key=lambda r: r[:3])
+    cols = list(zip(*rows, strict=True))
+    table = pa.table({"bucket": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int64()), "sig": pa.array(cols[2], pa.binary()), "sketch": pa.array(cols[3], pa.binary())})
+    out = [r for b in jaccard_join._part_buckets(Fraction(4, 5))(iter(table.to_batches(max_chunksize=batch))) for r in b.to_pylist()]
+    family = {sig: (bucket, base) for bucket, _, sig, _, base in rows}
+    sizes = Counter(family.values())
+    assert {r["sig"] for r in out} == {s for s, f in family.items() if sizes[f] > 1}
+    parts = defaultdict(set)
+    for r in out:
+        parts[r["bucket"]].add(family[r["sig"]])
+        assert r["m"] == sizes[family[r["sig"]]] and family[r["to"]] == family[r["sig"]]
+    assert all(len(p) == 1 for p in parts.values()) and len(parts) == sum(v > 1 for v in sizes.values())
