@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -68,7 +69,8 @@ HINTS = {
 }
 _HINT_OF = {w: k for k, v in HINTS.items() for w in v.split()}
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*|[^>]*)>)""", re.S)
+_OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOP = re.compile(r"""[>"']""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -83,17 +85,98 @@ def _hints(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+class _Scanner:
+    """Tags in order, moving forward only: what was once found to be missing ahead isn't
+    looked for again, so broken markup takes time in proportion to its length."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.dead: set[int] = set()  # quotes from which no tag ends
+        self.endless: set[str] = set()  # raw elements without an end tag ahead
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag's ``>`` stands: the first outside quotes, else the first; -1 if none."""
+        if at > self.last:
+            return -1
+        seen, pos = [], at
+        while m := _STOP.search(self.source, pos):
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            pos = self.source.find(m[0], m.start() + 1) + 1
+            if not pos:
+                break
+        self.dead.update(seen)
+        return self.source.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(begin, end, closing, name, attributes) of the next tag; the name is empty for
+        comments and declarations."""
+        source = self.source
+        while m := _OPEN.search(source, at):
+            if m[1]:
+                end = source.find("-->", m.end())
+                return m.start(), len(source) if end < 0 else end + 3, False, "", ""
+            if m[3] is None:
+                end = source.find(">", m.end())
+                return m.start(), len(source) if end < 0 else end + 1, False, "", ""
+            end = self.tag_end(m.end())
+            if end >= 0:
+                return m.start(), end + 1, bool(m[2]), m[3].lower(), source[m.end() : end]
+            at = m.end()
+        return None
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Behind the end tag of a raw element; -1 if there is none."""
+        if name in self.endless:
+            return -1
+        end = re.compile(rf"</{name}\b[^>]*>", re.I).search(self.source, at)
+        if end is None:
+            self.endless.add(name)
+            return -1
+        return end.end()
+
+
+#: Elements whose content runs to the end of the page where no end tag follows.
+TO_THE_END = {"script", "style", "textarea", "title"}
+
+
 def leaf_blocks(source: str) -> list[tuple[str, tuple[str, ...], int]]:
     """(text, ancestors' features, characters in links) of every block with text."""
     blocks: list[tuple[str, tuple[str, ...], int]] = []
+    scan = _Scanner(source)
     stack: list[tuple[str, tuple[str, ...]]] = []
+    names: Counter[str] = Counter()  # of the stack's elements
+    traits: Counter[str] = Counter()  # their features
+    around: list[str] = []  # the stack's blocks
     parts: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, at = 0, 0
     context: tuple[str, ...] | None = None
 
+    def push(name: str, own: tuple[str, ...]) -> None:
+        stack.append((name, own))
+        names[name] += 1
+        traits.update(own)
+        if name in BLOCKS:
+            around.append(name)
+
+    def pop_to(i: int) -> None:
+        while len(stack) > i:
+            name, own = stack.pop()
+            names[name] -= 1
+            if name in BLOCKS:
+                around.pop()
+            for x in own:
+                traits[x] -= 1
+                if not traits[x]:
+                    del traits[x]
+
     def close() -> None:
         nonlocal linked, context
-        text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
+        text = " ".join("".join(parts).split())
         if text:
             blocks.append((text, context or (), linked))
         parts.clear()
@@ -103,48 +186,44 @@ def leaf_blocks(source: str) -> list[tuple[str, tuple[str, ...], int]]:
         nonlocal linked, context
         if not text:
             return
+        text = html.unescape(text)  # a reference doesn't go over a tag
         if context is None and not text.isspace():
-            context = tuple(sorted({x for _, own in stack for x in own})) + ("own=" + next((t for t, _ in reversed(stack) if t in BLOCKS), "none"),)
+            context = (*sorted(traits), "own=" + (around[-1] if around else "none"))
         parts.append(text)
-        linked += len(text.strip()) * bool(in_link)
+        linked += len(text.strip()) * bool(names["a"])
 
     while True:
-        m = _TAG.search(source, at)
-        if not m:
+        tag = scan.next(at)
+        if not tag:
             add(source[at:])
             close()
             return blocks
-        add(source[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        begin, end, closing, name, attributes = tag
+        add(source[at:begin])
+        at = end
+        if not name:
             continue
-        name = m[2].lower()
         if name in BLOCKS:
             close()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-            in_link = any(t == "a" for t, _ in stack)
+        if closing:
+            if names[name]:
+                pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-            if not m[3].endswith("/"):
-                at = end.end() if end else len(source)
+            if not attributes.endswith("/"):
+                raw = scan.raw_end(name, at)
+                at = raw if raw >= 0 else len(source) if name in TO_THE_END else at
             continue
-        if name in CLOSES:
+        if name in CLOSES and any(names[x] for x in CLOSES[name]):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] in CLOSES[name]:
-                    del stack[i:]
+                    pop_to(i)
                     break
                 if stack[i][0] in BARRIER:
                     break
-            in_link = any(t == "a" for t, _ in stack)
-        if name in VOID or m[3].endswith("/") and name not in BLOCKS:
+        if name in VOID or attributes.endswith("/") and name not in BLOCKS:
             continue
-        stack.append((name, (("in=" + name,) if name in TAGS else ()) + _hints(m[3])))
-        in_link = in_link or name == "a"
+        push(name, (("in=" + name,) if name in TAGS else ()) + _hints(attributes))
 
 
 def _step(x: float, *edges: float) -> int:
@@ -160,7 +239,7 @@ def features(blocks: list[tuple[str, tuple[str, ...], int]]) -> list[list[str]]:
         link = f"linked={_step(linked / len(text), 0.01, 0.3, 0.7)}"
         out.append([
             *context, "any", size, link, f"end={'stop' if text[-1] in '.!?…:;»”\"' else 'none'}",
-            f"digits={_step(sum(c.isdigit() for c in text[:200]) / min(len(text), 200), 0.1, 0.4)}",
+            f"digits={_step(sum(c.isdigit() for c in text) / len(text), 0.1, 0.4)}",
             "sign=copy" if "©" in text or "®" in text else "sign=none",
             f"from={_step(i, 1, 3, 8)}", f"to={_step(n - 1 - i, 1, 3, 8)}",
             f"{size}&{link}",

@@ -5,9 +5,10 @@ repeated three-word windows.
 
 Method. For each language and source the minimum-covariance-determinant estimate of four
 transformed statistics is found by concentration steps: distances from the present centre
-and scatter, the ``H_SHARE`` nearest rows, their mean and covariance, again until no
-group's determinant falls. Two deterministic starts (median and MAD; mean and covariance);
-the smaller determinant wins. A text is rejected when its squared Mahalanobis distance,
+and scatter, the ``H_SHARE`` nearest rows, their mean and covariance. Each group goes on for itself until its
+log determinant falls by no more than ``LEAST_DROP``; there is no limit of steps, and
+as determinants have a floor, there is an end. Two deterministic starts (median and MAD;
+mean and covariance) take their steps together; the smaller determinant wins. A text is rejected when its squared Mahalanobis distance,
 with the consistency factor of the half-sample, passes ``CUTOFF``.
 
 Statistics are held as fixed-point integers of 1/1024, so sums are exact and the result
@@ -38,9 +39,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 
-H_SHARE, MAX_STEPS = 0.75, 8
-#: Steps end when no group's log determinant falls by more.
-LEAST_DROP = 1e-3
+H_SHARE = 0.75
+#: A group's steps end when its log determinant falls by no more.
+LEAST_DROP = 1e-9
 #: Consistency factor for four dimensions at a share of 0.75.
 CONSISTENCY = 1.485
 #: Squared distance from which a text is an outlier: ten robust standard deviations.
@@ -50,6 +51,8 @@ CUTOFF = 100.0
 FLOOR = (0.03, 0.03, 0.02, 0.05)
 MIN_GROUP, MIN_POOL = 200, 50
 SCALE = 1024
+#: Models (a few dozen numbers) that are broadcast to their rows.
+MODELS = 20_000
 
 P = len(FLOOR)
 
@@ -102,11 +105,11 @@ def _distance() -> Column:
     return sum((x * x for x in z[1:]), z[0] * z[0])
 
 
-def _factor(sums: DataFrame) -> DataFrame:
+def _factor(sums: DataFrame, *more: str) -> DataFrame:
     """Centre, Cholesky factor of the floored covariance and its log determinant for each
     group, from exact sums n, s*, s**."""
     n = F.col("n").cast("double")
-    d = sums.select("g", *[(F.col(f"s{i}") / n / SCALE).alias(f"m{i}") for i in range(P)],
+    d = sums.select("g", *more, *[(F.col(f"s{i}") / n / SCALE).alias(f"m{i}") for i in range(P)],
                     *[((F.col(f"s{i}{j}") / n - F.col(f"s{i}") / n * (F.col(f"s{j}") / n)) / SCALE**2 + (FLOOR[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
     for i in range(P):
         for j in range(i + 1):
@@ -115,27 +118,28 @@ def _factor(sums: DataFrame) -> DataFrame:
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             d = d.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l{j}{j}"))
     det = sum((F.log(f"l{i}{i}") for i in range(1, P)), F.log("l00"))
-    return d.select("g", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)], (2 * det).alias("det"))
+    return d.select("g", *more, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)], (2 * det).alias("det"))
 
 
-def _sums(rows: DataFrame) -> DataFrame:
+def _sums(rows: DataFrame, *more: str) -> DataFrame:
     x = [F.col(f"x{i}") for i in range(P)]
     wide = lambda c: F.sum(c.cast("decimal(20,0)"))
-    return rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[wide(x[i]).alias(f"s{i}") for i in range(P)], *[wide(x[i] * x[j]).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)])
+    return rows.groupBy("g", *more).agg(F.count(F.lit(1)).alias("n"), *[wide(x[i]).alias(f"s{i}") for i in range(P)], *[wide(x[i] * x[j]).alias(f"s{i}{j}") for i in range(P) for j in range(i + 1)])
 
 
 def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """One concentration step: the model of the nearest rows of each group."""
-    near = rows.join(model, "g").withColumn("bin", F.floor(F.log1p(_distance()) * 64)).select("g", "bin", *[f"x{i}" for i in range(P)])
-    hist = cut_narrow(near.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("k")))
-    so_far = Window.partitionBy("g").orderBy("bin")
-    total = Window.partitionBy("g")
+    """One concentration step of each model (g, start): that of the group's nearest rows."""
+    near = rows.join(model, "g").withColumn("bin", F.floor(F.log1p(_distance()) * 64)).select("g", "start", "bin", *[f"x{i}" for i in range(P)])
+    hist = cut_narrow(near.groupBy("g", "start", "bin").agg(F.count(F.lit(1)).alias("k")))
+    so_far = Window.partitionBy("g", "start").orderBy("bin")
+    total = Window.partitionBy("g", "start")
     last = hist.withColumn("upto", F.sum("k").over(so_far)).withColumn("all", F.sum("k").over(total))
-    last = last.where(F.col("upto") >= F.ceil(F.col("all") * H_SHARE)).groupBy("g").agg(F.min("bin").alias("last"))
-    return _factor(_sums(near.join(last, "g").where("bin <= last")))
+    last = last.where(F.col("upto") >= F.ceil(F.col("all") * H_SHARE)).groupBy("g", "start").agg(F.min("bin").alias("last"))
+    return _factor(_sums(near.join(last, ["g", "start"]).where("bin <= last"), "start"), "start")
 
 
-def _starts(rows: DataFrame) -> list[DataFrame]:
+def _starts(rows: DataFrame) -> DataFrame:
+    """The two first models of each group."""
     mid = cut_narrow(rows.groupBy("g").agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(P)]))
     away = rows.join(mid, "g").groupBy("g").agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(P)], *[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5).alias(f"a{i}") for i in range(P)]
@@ -145,23 +149,26 @@ def _starts(rows: DataFrame) -> list[DataFrame]:
         *[(F.greatest(1.4826 * F.col(f"a{i}") / SCALE, F.lit(FLOOR[i])) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)],
         F.lit(0.0).alias("det"),
     )
-    return [cut_narrow(robust), cut_narrow(_factor(_sums(rows)))]
+    return cut_narrow(robust.withColumn("start", F.lit(0)).unionByName(_factor(_sums(rows)).withColumn("start", F.lit(1))))
 
 
 def estimate(rows: DataFrame) -> DataFrame:
     """Minimum-determinant centre and factor for each group of the rows (g, x0..)."""
-    found = None
-    for start in _starts(rows):
-        model, step = cut_narrow(_step(rows, start)), 1
-        while step < MAX_STEPS:
-            new = cut_narrow(_step(rows, model))
-            drop = new.select("g", F.col("det").alias("to")).join(model.select("g", "det"), "g").agg(F.max(F.col("det") - F.col("to"))).first()[0]
-            model, step = new, step + 1
-            if drop is None or drop < LEAST_DROP:
-                break
-        found = model if found is None else found.unionByName(model)
+    starts = _starts(rows)
+    side = F.broadcast if starts.count() <= MODELS else lambda df: df
+    model, found = cut_narrow(_step(rows, side(starts))), None
+    while model.limit(1).count():  # only groups that still fall are read on
+        new = _step(rows, side(model))
+        was = model.select("g", "start", F.col("det").alias("was"))
+        falls = F.coalesce(F.col("was") - F.col("det") > LEAST_DROP, F.lit(False))
+        new = cut_narrow(new.join(was, ["g", "start"]).withColumn("falls", falls).drop("was"))
+        done = new.where("not falls").drop("falls")
+        found = done if found is None else found.unionByName(done)
+        model = new.where("falls").drop("falls")
+    if found is None:
+        found = model
     nth = Window.partitionBy("g").orderBy("det", "m0")
-    return found.withColumn("k", F.row_number().over(nth)).where("k = 1").drop("k", "det")
+    return found.withColumn("k", F.row_number().over(nth)).where("k = 1").drop("k", "det", "start")
 
 
 def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:

@@ -4,14 +4,16 @@ Strong parts are reported wherever they stand: assignments to a secret-like name
 key identifiers, long hexadecimal runs. Weak candidates are reported only where
 complementary parts stand in the same scope:
 
-- ``secret``: a 40-character mixed run, next to an access identifier or an endpoint with
-  an identifier;
+- ``secret``: a 40-character mixed run, next to an identifier: an access key's, or an ``ident``;
 - ``ident``: a user, client or account name assignment, next to a secret of any kind;
 - ``endpoint``: a url or host with a port, next to both an identifier and a secret.
 
-Scopes. Each part reaches ``REACH`` code points to either side; overlapping intervals join
-into one scope. Parts meet their scope by a window over the sorted parts of a text: linear
-in the parts, no pairs are formed.
+So a secret that makes a name reportable is itself reportable by that name.
+
+Scopes. Each part is an interval that reaches ``REACH`` code points to either side; two parts
+are next to each other when their intervals meet. The interval join asks only whether a part
+of some kinds is met, so it takes the nearest end before and the nearest start behind over
+the sorted parts of a text: linear in the parts, no pairs are formed, nothing is chained.
 
 Positions. Spark's regex functions give matches, not places. The pieces between matches
 (``split``) and the matches (``regexp_extract_all``) alternate, so running sums of their
@@ -85,18 +87,20 @@ def _spans(hits: DataFrame) -> DataFrame:
     run = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     ends = F.sum(F.col("gap").cast("long") + F.col("size")).over(run)
     parts = parts.withColumn("end", ends).withColumn("start", F.col("end") - F.col("size")).where("kept")
-    # Scopes: the text's parts by start; a gap of more than twice the reach opens a new one.
+    # For each class of parts: the nearest end before and the nearest start behind, in order of start.
     order = Window.partitionBy("row").orderBy("start", "end", "kind")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.withColumn("opens", F.coalesce((F.col("start") - before > 2 * REACH).cast("int"), F.lit(0)))
-    parts = parts.withColumn("scope", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    scope = Window.partitionBy("row", "scope")
+    ahead, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     number = {k: i for i, k in enumerate(KINDS)}
-    has = lambda *kinds: F.max(F.col("kind").isin([number[k] for k in kinds])).over(scope)
-    ident, key, place = has("access", "ident"), has("assign", "hex", "secret"), has("endpoint")
-    access = has("access")
+
+    def near(*kinds: str) -> Column:
+        of = F.col("kind").isin([number[k] for k in kinds])
+        before = F.col("start") - F.max(F.when(of, F.col("end"))).over(ahead) <= 2 * REACH
+        after = F.min(F.when(of, F.col("start"))).over(behind) - F.col("end") <= 2 * REACH
+        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+
+    ident, key = near("access", "ident"), near("assign", "hex", "secret")
     linked = (
-        F.when(F.col("kind") == number["secret"], access | (ident & place))
+        F.when(F.col("kind") == number["secret"], ident)
         .when(F.col("kind") == number["ident"], key)
         .when(F.col("kind") == number["endpoint"], ident & key)
         .otherwise(True)
@@ -139,8 +143,10 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     names = docs.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
     is_hit = _has_candidate(text)
-    hits = cut(docs.where(is_hit).select(F.struct(*names).alias("doc"), text.alias("text"), F.monotonically_increasing_id().alias("row")))
-    found = _per_row(hits)
+    # Columns have names of their own on the way, so that none clashes.
+    own = {c: f"_{i}" for i, c in enumerate(names)}
+    hits = cut(docs.where(is_hit).select(*[F.col(c).alias(n) for c, n in own.items()], text.alias("text"), F.monotonically_increasing_id().alias("row")))
+    found = _per_row(hits.select("row", "text"))
     # Overlapping spans are merged; cuts are the borders of what stays.
     merged = F.aggregate(
         "found", F.array().cast("array<struct<s:bigint,e:bigint>>"),
@@ -158,7 +164,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     new = {text_col: clean}
     if "n_chars" in names:
         new["n_chars"] = F.length(clean).cast(docs.schema["n_chars"].dataType)
-    changed = j.select(*[(new[c] if c in new else F.col("doc")[c]).alias(c) for c in names])
+    changed = j.select(*[(new[c] if c in new else F.col(n)).alias(c) for c, n in own.items()])
     return docs.where(~is_hit).unionByName(changed)
 
 

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import cut, table
+from cohortlens.llm.common import cut, cut_table, table
 
 SHARDS, SEED = 40, 20240
 #: Rows that one task permutes in a shard.
@@ -42,12 +42,14 @@ def draw_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
     for i, n in enumerate(counts):
         left = n
         rest = int(lack.sum())
-        for s in range(shards):  # one conditional draw a shard: exact at any size below 1e9
+        for s in range(shards):  # one conditional draw a shard
             rest -= int(lack[s])
             take = _hypergeometric(rng, int(lack[s]), rest, left)
             out[i, s] = take
             left -= take
         lack -= out[i]
+    if (out < 0).any() or lack.any() or (out.sum(axis=1) != counts).any():
+        raise AssertionError("the matrix doesn't have the partitions' counts and the shards' sizes")
     return out
 
 
@@ -56,21 +58,23 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
         return 0
     if bad == 0:
         return n
-    if good + bad < 1_000_000_000:
+    if max(good, bad) < 1_000_000_000:  # the generator's limit
         return int(rng.hypergeometric(good, bad, n))
-    # The generator's limit: draw the sample in slices, which is the same law.
-    taken = 0
-    while n:
-        k = min(n, 1_000_000)
-        p = good / (good + bad)
-        x = min(good, int(rng.binomial(k, p)))
-        taken, good, bad, n = taken + x, good - x, bad - (k - x), n - k
-    return taken
+    # The law itself: chances from the ratios of neighbouring counts, outward from the most
+    # likely one as far as a double can tell them from 0.
+    low, high = max(0, n - bad), min(good, n)
+    total = good + bad
+    top = min(high, max(low, int((n + 1) * (good + 1) // (total + 2))))
+    spread = int(40 * (n / total * good * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5) + 60
+    k = np.arange(max(low, top - spread), min(high, top + spread) + 1, dtype=np.float64)
+    step = np.log(good - k[:-1]) + np.log(n - k[:-1]) - np.log(k[:-1] + 1) - np.log(bad - n + k[:-1] + 1)
+    chance = np.concatenate([[0.0], np.cumsum(step)])
+    chance = np.cumsum(np.exp(chance - chance.max()))
+    return int(k[np.searchsorted(chance, rng.random() * chance[-1], side="right")])
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = cut(
         docs.select(
@@ -78,6 +82,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
             F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("part"),
         )
     )
+    return _placed(rows, shards, seed).select(
+        F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def _placed(rows: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Written rows (row, part, ...) with their shard and slot."""
+    spark = rows.sparkSession
     counts = {x["part"]: x["count"] for x in rows.groupBy("part").count().collect()}
     names = sorted(counts)
     matrix = draw_matrix([counts[p] for p in names], shards, seed)
@@ -96,17 +108,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str =
     sizes = sizes.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     second = Window.partitionBy("shard", "bucket").orderBy("r", "row")
     out = dealt.withColumn("nth", F.row_number().over(second)).join(sizes, ["shard", "bucket"])
-    return out.select(
-        F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard",
-        (F.col("base") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
-    """The operator's files: all columns of ``docs`` in ``path``/shard=N, ids being unique."""
-    placed = shard(docs, shards, seed, id_col).select(id_col, "shard", "slot")
-    full = docs.join(placed, id_col)
-    full.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return out.withColumn("slot", (F.col("base") + F.col("nth") - 1).cast("long")).drop("base", "nth", "bucket", "r")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The operator's files: all columns of ``docs`` in ``path``/shard=N. The rows are numbered
+    where they are written, so null and repeated ids keep their rows."""
+    names = docs.columns
+    numbered = docs.select(F.struct(*names).alias("doc"), F.monotonically_increasing_id().alias("row"), F.spark_partition_id().alias("part"))
+    full = cut_table(numbered)
+    placed = _placed(cut(full.select("row", "part")), shards, seed).select("row", "shard", "slot")
+    full = full.drop("part").join(placed, "row").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    other = [c for c in names if c not in ("shard", "slot")]
+    full.select(*[F.col("doc")[c].alias(c) for c in other], "shard", "slot").write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 

@@ -45,8 +45,12 @@ _LAST = "\U0010ffff"
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end; A-Z lower-cased."""
-    raw = F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(lower_ascii(F.regexp_extract(url, r"(?s)\A.*?://([^/?#]*)", 1)), F.lit(""))
+
+
+def lower_ascii(host: Column) -> Column:
+    """A-Z lower-cased, as hosts of urls and of rules are compared."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
@@ -74,7 +78,7 @@ def _sweep(default: str):
     """Rows sorted by key, a rule before the urls of its interval."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_rules: list[tuple[str, dict]] = []  # (host key, {path: (rule, verdict)}), nested
+        open_rules: list[tuple[str, dict, list]] = []  # (host key, {path: (rule, verdict)}, path lengths), nested
         pid = None
         for batch in batches:
             out = []
@@ -88,14 +92,16 @@ def _sweep(default: str):
                     open_rules.pop()
                 if kind == 0:
                     if not open_rules or open_rules[-1][0] != key:
-                        open_rules.append((key, {}))
-                    kept = open_rules[-1][1]
+                        open_rules.append((key, {}, []))
+                    _, kept, sizes = open_rules[-1]
+                    if len(path) not in sizes:
+                        sizes.append(len(path))
                     if path not in kept or verdict == "block":
                         kept[path] = (rule, verdict)
                     continue
                 best = None
-                for _, kept in open_rules:
-                    for size in {len(x) for x in kept}:
+                for _, kept, sizes in open_rules:
+                    for size in sizes:
                         hit = kept.get(path[:size]) if size <= len(path) else None
                         if hit and (best is None or (len(hit[0]), hit[1] == "block") > (len(best[0]), best[1] == "block")):
                             best = hit
@@ -127,7 +133,7 @@ def filter_urls(
         F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")
     ).withColumn("key", reversed_host(F.col("host")))
     r = rules.select(
-        F.lower("host").alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.col("verdict")
+        lower_ascii(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.col("verdict")
     ).where("host is not null and verdict is not null")
     r = r.select(
         F.lit(None).cast(u.schema["id"].dataType).alias("id"), "host", "path", reversed_host(F.col("host")).alias("key"),

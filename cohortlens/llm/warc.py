@@ -32,6 +32,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,12 +90,12 @@ def _record(x: dict) -> bytes:
     url = "about:blank" if x["url"] is None else x["url"].replace("\r", " ").replace("\n", " ")
     head = [
         "WARC/1.1", f"WARC-Type: {x['record_type']}", f"WARC-Record-ID: <urn:record:{x['record']}>", f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{x['payload_digest']}", f"X-Page-ID: {x['id'] or ''}",
+        f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{x['payload_digest']}", *_id_field("X-Page-ID", x["id"]),
     ]
     if copy:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:record:{x['target']}>", f"X-Refers-To-Page-ID: {x['refers_to'] or ''}",
+            f"WARC-Refers-To: <urn:record:{x['target']}>", *_id_field("X-Refers-To-Page-ID", x["refers_to"]),
         ]
     else:
         head.append("Content-Type: text/html")
@@ -102,6 +103,15 @@ def _record(x: dict) -> bytes:
     return "\r\n".join(head).encode() + END + body + END
 
 
+def _id_field(name: str, value: str | None) -> list[str]:
+    """The header line of an id: percent-encoded, none for a null id."""
+    return [] if value is None else [f"{name}: {quote(value, safe='')}"]
+
+
+def _id_of(fields: dict[str, str], name: str) -> str | None:
+    return unquote(fields[name]) if name in fields else None
+
+
 def _digest(body: bytes) -> str:
     return base64.b32encode(hashlib.sha1(body).digest()).decode()
 
@@ -213,8 +223,8 @@ def _reader(with_payload: bool):
                             if x["WARC-Type"] == "response" and f"sha1:{digest}" != x["WARC-Payload-Digest"]:
                                 raise ValueError(f"digest differs in {files[i]} at {offsets[k]}")
                             copy = x["WARC-Type"] == "revisit"
-                            row = (number(x["WARC-Record-ID"]), x["X-Page-ID"] or None, x["WARC-Type"], number(x["WARC-Refers-To"]) if copy else None,
-                                   (x["X-Refers-To-Page-ID"] or None) if copy else None, None if copy else len(body), None if copy else digest, x["WARC-Target-URI"])
+                            row = (number(x["WARC-Record-ID"]), _id_of(x, "X-Page-ID"), x["WARC-Type"], number(x["WARC-Refers-To"]) if copy else None,
+                                   _id_of(x, "X-Refers-To-Page-ID") if copy else None, None if copy else len(body), None if copy else digest, x["WARC-Target-URI"])
                             out.append(row + ((body,) if with_payload else ()))
                         i += count
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
