@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.config import checkpoint_dir, write_stage
-from cohortlens.functions.columns import year_number
+from cohortlens.functions.columns import ELITE, NO_STATUS, NON_ELITE, POST_LABEL, PRE_LABEL, year_number
 from cohortlens.plans.colocated import ColocatedAnalysis
 from cohortlens.plans.counted import run_counted
 from cohortlens.plans.increments import IncrementalSummaries
 from cohortlens.plans.pipelines import CohortAnalysis
+from cohortlens.plans.views import Q1_SQL, Q2_SQL, register_views, typed
 from cohortlens.sources.colocated import ingest
 from cohortlens.sources.sinks import tsv_lines
 from cohortlens.sources.testdata import load_star
@@ -125,6 +126,12 @@ def _colocated(a: CohortAnalysis, key: str) -> ColocatedAnalysis:
     return ColocatedAnalysis(tables, a.business, a.user, a.taxonomy)
 
 
+def _typed(a: CohortAnalysis, text: str, **args: str) -> DataFrame:
+    prefix = f"v{uuid.uuid4().hex}_"
+    register_views(a, prefix, ["business_top_level", "review_lengths", "dated_category_reviews", "user_elite_years"])
+    return typed(a, text, prefix, none=NO_STATUS, **args)
+
+
 INGEST_YEARS = 3  # review years that come together
 
 
@@ -202,6 +209,9 @@ QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
     "dated_reviews_with_elite_colocated": lambda a: _elite_list(_colocated(a, "user_id").rows("dated_reviews_with_elite")),
     "q1_bar_colocated": lambda a: _colocated(a, "user_id").q1_bar,
     "q2_bar_colocated": lambda a: _colocated(a, "user_id").q2_bar,
+    # typed in SQL over session views
+    "q1_bar_compat_sql": lambda a: _typed(a, Q1_SQL, holder=ELITE, other=NON_ELITE),
+    "q2_bar_compat_sql": lambda a: _typed(a, Q2_SQL, post=POST_LABEL, pre=PRE_LABEL),
     # kept up to date over ingests of reviews
     "q1_bar_incremental": lambda a: _incremental(a).q1_bar,
     "q2_bar_incremental": lambda a: _incremental(a).q2_bar,
