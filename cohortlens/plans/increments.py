@@ -13,6 +13,9 @@ The registry is sorted by review year, so settling a date reads only the files o
 it holds. Partials are made with the users, businesses and taxonomy given; when these change,
 ``rebuild`` makes all partials anew from the registries, without the reviews. An update
 that was cut off is completed by sending the date again.
+
+With ``sketch_k`` a quantile sketch per cohort and category is kept beside the sums, so that
+``box`` gives quartiles of all dates, or of those up to one, without the reviews.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.config import write_stage
 from cohortlens.functions.columns import year_number
-from cohortlens.operators import measures, summaries
+from cohortlens.operators import measures, sketches, summaries
 from cohortlens.plans.pipelines import Q2_LABEL, CohortAnalysis
 
 IDENTITY = ["user_id", "date", "business_id", "review_id", "length_of_review"]
@@ -34,12 +37,16 @@ _DATE = re.compile(r"^[0-9A-Za-z_-]+$")
 
 
 class IncrementalSummaries:
-    def __init__(self, spark: SparkSession, folder: str, business: DataFrame, user: DataFrame, taxonomy: DataFrame, id_type: str = "string"):
+    def __init__(self, spark: SparkSession, folder: str, business: DataFrame, user: DataFrame, taxonomy: DataFrame, id_type: str = "string", sketch_k: int | None = None):
+        self.sketch_k = sketch_k
         self.spark, self.folder = spark, folder.rstrip("/")
         self.business, self.user, self.taxonomy = business, user, taxonomy
         self.schema = f"user_id {id_type}, date string, business_id {id_type}, review_id string, length_of_review long, review_year int, ingest_date string"
         sums = ", _sum long, _n long, ingest_date string"
         self.tables = {"registry": self.schema} | {name: ", ".join(f"{k} string" for k in keys) + sums for name, keys in KEYS.items()}
+        if sketch_k:
+            held = ", _n long, _sketch binary, ingest_date string"
+            self.tables |= {f"{name}_sketch": ", ".join(f"{k} string" for k in keys) + held for name, keys in KEYS.items()}
         for name, schema in self.tables.items():  # an empty table to read from
             spark.createDataFrame([], schema).write.mode("append").partitionBy("ingest_date").parquet(f"{self.folder}/{name}")
 
@@ -92,6 +99,9 @@ class IncrementalSummaries:
         for name, partials in (("q1", a.q1_partials()), ("q2", a.q2_partials())):
             sums = partials.groupBy(*KEYS[name]).agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
             self._replace(name, date, sums.coalesce(1))  # cohorts x categories rows
+        if self.sketch_k:
+            for name, parts in (("q1", a.q1_sketches(self.sketch_k)), ("q2", a.q2_sketches(self.sketch_k))):
+                self._replace(f"{name}_sketch", date, sketches.merge_sketches(parts, KEYS[name], self.sketch_k).coalesce(1))
 
     @property
     def q1_bar(self) -> DataFrame:
@@ -101,6 +111,17 @@ class IncrementalSummaries:
     def q2_bar(self) -> DataFrame:
         return summaries.mean_from_partials(self._read("q2"), KEYS["q2"], mean_name="length_of_review", count_name="review_counts")
 
+    def box(self, name: str, until: str | None = None) -> DataFrame:
+        """The box summary of question ``q1`` or ``q2`` from the stored sketches, over all dates
+        or those up to ``until``: a review is owned by its smallest date, so these hold each
+        review that came until then once."""
+        if not self.sketch_k:
+            raise ValueError("no sketches are kept; give sketch_k")
+        held = self._read(f"{name}_sketch")
+        if until is not None:
+            held = held.where(F.col("ingest_date") <= until)
+        return sketches.box_from_sketches(sketches.merge_sketches(held, KEYS[name], self.sketch_k), KEYS[name])
+
 
 def _matching(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on the whole identity, null equal to null."""

@@ -37,6 +37,7 @@ from cohortlens.functions.columns import NON_ELITE
 from cohortlens.operators import cohorts, measures, summaries, taxonomy
 from cohortlens.operators.joins import BROADCAST_BYTES, DIMENSION_ROWS, TITLE_ROWS, bounds, broadcast_if, wide
 from cohortlens.operators.runtime_filter import keep_known
+from cohortlens.operators.sketches import SKETCH_K, sketch
 from cohortlens.schemas import check_schema
 
 Q2_LABEL = "new_filtered_elites"
@@ -241,9 +242,18 @@ class CohortAnalysis:
     @cached_property
     def q1_box_summary(self) -> DataFrame:
         """Exact quartiles per (status, Category), from counts per length."""
+        return summaries.box_summary(self.q1_length_counts, ["status", "Category"], weight="_w")
+
+    @cached_property
+    def q1_length_counts(self) -> DataFrame:
+        """Partial counts ``_w`` by (status, Category, length)."""
         rows = self.review_lengths.join(self._status_side(), "user_id")
-        counts = self._by_category(rows, ["status", "length_of_review"], _count_rows)
-        return summaries.box_summary(counts, ["status", "Category"], weight="_w")
+        return self._by_category(rows, ["status", "length_of_review"], _count_rows)
+
+    def q1_sketches(self, k: int = SKETCH_K) -> DataFrame:
+        """Mergeable quantile sketches behind ``q1_box_summary``."""
+        rows = self.review_lengths.join(self._status_side(), "user_id")
+        return self._by_category(rows, ["status"], lambda r, keys: sketch(r, keys, k=k))
 
     @cached_property
     def q1_by_business(self) -> DataFrame:
@@ -300,8 +310,16 @@ class CohortAnalysis:
 
     @cached_property
     def q2_box_summary(self) -> DataFrame:
-        counts = self._by_category(self._q2_labelled(), [Q2_LABEL, "length_of_review"], _count_rows)
-        return summaries.box_summary(counts, ["Category", Q2_LABEL], weight="_w")
+        return summaries.box_summary(self.q2_length_counts, ["Category", Q2_LABEL], weight="_w")
+
+    @cached_property
+    def q2_length_counts(self) -> DataFrame:
+        """Partial counts ``_w`` by (Category, label, length)."""
+        return self._by_category(self._q2_labelled(), [Q2_LABEL, "length_of_review"], _count_rows)
+
+    def q2_sketches(self, k: int = SKETCH_K) -> DataFrame:
+        """Mergeable quantile sketches behind ``q2_box_summary``."""
+        return self._by_category(self._q2_labelled(), [Q2_LABEL], lambda r, keys: sketch(r, keys, k=k))
 
     # -- question 2, the notebook's form ------------------------------------------
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from cohortlens.config import checkpoint_dir, write_stage
 from cohortlens.functions.columns import ELITE, NO_STATUS, NON_ELITE, POST_LABEL, PRE_LABEL, year_number
+from cohortlens.operators.sketches import SKETCH_K, quartile_rank_errors
 from cohortlens.plans.colocated import ColocatedAnalysis
 from cohortlens.plans.counted import run_counted
-from cohortlens.plans.increments import IncrementalSummaries
+from cohortlens.plans.increments import KEYS, IncrementalSummaries
 from cohortlens.plans.pipelines import CohortAnalysis
 from cohortlens.plans.views import Q1_SQL, Q2_SQL, register_views, typed
 from cohortlens.sources.colocated import ingest
@@ -135,20 +136,34 @@ def _typed(a: CohortAnalysis, text: str, **args: str) -> DataFrame:
 INGEST_YEARS = 3  # review years that come together
 
 
-def _incremental(a: CohortAnalysis) -> IncrementalSummaries:
+def _incremental(a: CohortAnalysis, sketch_k: int | None = None) -> IncrementalSummaries:
     """The summaries after the reviews came in ingests of some years each, the second half
     first; each ingest repeats some reviews of the years before, which count once."""
     spark = a.review.sparkSession
     reviews = write_stage(a.review.select("review_id", "user_id", "business_id", "date", "length_of_review"))
     part = F.floor(year_number("date") / INGEST_YEARS)
     parts = sorted(x.p for x in reviews.select(part.alias("p")).distinct().collect())
-    kept = IncrementalSummaries(spark, f"{checkpoint_dir(spark)}/increments-{uuid.uuid4().hex}", a.business, a.user, a.taxonomy, id_type="bigint")
+    kept = IncrementalSummaries(spark, f"{checkpoint_dir(spark)}/increments-{uuid.uuid4().hex}", a.business, a.user, a.taxonomy, id_type="bigint", sketch_k=sketch_k)
     half = len(parts) // 2
     for p in parts[half:] + parts[:half]:
         kept.update(f"{p:06d}", reviews.where((part == p) | ((part == p - 1) & (F.col("business_id") % 5 == 0))))
     return kept
 
 
+#: A rank error that no quartile passes: over nine standard deviations at ``SKETCH_K``.
+RANK_TOLERANCE = 0.02
+
+
+def _box_sketched(a: CohortAnalysis, name: str, counts: DataFrame) -> DataFrame:
+    """The box summary merged from sketches stored by ingest: what sketches hold exactly, and
+    whether each quartile's rank, counted over all reviews, is within the tolerance."""
+    keys = KEYS[name]
+    box = write_stage(_incremental(a, SKETCH_K).box(name))
+    errors = quartile_rank_errors(counts, box, keys)
+    near = [(F.col(f"{q}_error") <= RANK_TOLERANCE).alias(f"{q}_near") for q in ("q1", "median", "q3")]
+    return box.join(errors, keys).select(*keys, "n", "min_length", "max_length", *near)
+
+
 QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
     # sources (adapter output in the analysis's own schema)
     "src_business": lambda a: a.business,
@@ -215,6 +230,9 @@ QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
     # kept up to date over ingests of reviews
     "q1_bar_incremental": lambda a: _incremental(a).q1_bar,
     "q2_bar_incremental": lambda a: _incremental(a).q2_bar,
+    # quartiles from stored sketches
+    "q1_box_sketched": lambda a: _box_sketched(a, "q1", a.q1_length_counts),
+    "q2_box_sketched": lambda a: _box_sketched(a, "q2", a.q2_length_counts),
     # operations
     "stage_counts": lambda a: run_counted(a).to_frame(a.review.sparkSession),
     "review_grains": _review_grains,
