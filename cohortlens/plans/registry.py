@@ -21,8 +21,11 @@ from cohortlens.plans.increments import KEYS, IncrementalSummaries
 from cohortlens.plans.pipelines import CohortAnalysis
 from cohortlens.plans.views import Q1_SQL, Q2_SQL, register_views, typed
 from cohortlens.sources.colocated import ingest
+from cohortlens.sources.quarantine import read_quarantined
+from cohortlens.sources.sized import export_sized, read_sized
 from cohortlens.sources.sinks import tsv_lines
 from cohortlens.sources.testdata import load_star
+from cohortlens.streaming import label_changes, q2_bar, review_events, start_q2_bar_stream, status_events
 
 # Parameters of the registered analyses.
 VOLUME_MIN_COUNT = 2_000  # summary rows backed by fewer reviews are dropped
@@ -150,6 +153,49 @@ def _incremental(a: CohortAnalysis, sketch_k: int | None = None) -> IncrementalS
     return kept
 
 
+def _streamed(a: CohortAnalysis) -> DataFrame:
+    """Question 2 after two runs of its stream: the reviews of odd businesses and each user's
+    newest status year only, then the other reviews, some repeated ones, and the whole lists."""
+    spark = a.review.sparkSession
+    folder = f"{checkpoint_dir(spark)}/q2-stream-{uuid.uuid4().hex}"
+    reviews = write_stage(a.review.select("review_id", "user_id", "business_id", "date", "length_of_review"))
+    users = a.user.select("user_id", "elite")
+    odd = F.col("business_id") % 2 == 1
+    newest = users.select("user_id", F.split_part("elite", F.lit(","), F.lit(1)).alias("elite"))
+    for some, lists in ((reviews.where(odd), newest), (reviews.where(~odd | (F.col("business_id") % 5 == 0)), users)):
+        some.write.mode("append").parquet(f"{folder}/reviews")
+        lists.write.mode("append").parquet(f"{folder}/users")
+        came = review_events(spark.readStream.schema(reviews.schema).parquet(f"{folder}/reviews"))
+        listed = status_events(spark.readStream.schema(users.schema).parquet(f"{folder}/users"))
+        query = start_q2_bar_stream(label_changes(came.unionByName(listed)), a.business_top_level, folder)
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
+    return q2_bar(spark, folder)
+
+
+def _quarantined_users(a: CohortAnalysis) -> DataFrame:
+    """Users as JSON lines, of each seven one cut off and one without its identifier, read
+    back: good rows and the quarantine."""
+    spark = a.user.sparkSession
+    path = f"{checkpoint_dir(spark)}/users-{uuid.uuid4().hex}"
+    user = a.user.withColumn("user_id", F.col("user_id").cast("string"))
+    whole, keyless = F.to_json(F.struct("user_id", "elite")), F.to_json(F.struct("elite"))
+    kind = F.col("user_id").cast("long") % 7
+    line = F.when(kind == 0, F.left(whole, F.lit(12))).when(kind == 1, keyless).otherwise(whole)
+    user.select(line.alias("value")).write.text(path)
+    good, bad = read_quarantined(spark, "user", path)
+    return good.select("user_id", "elite").unionByName(bad.select("line", "reason"), allowMissingColumns=True)
+
+
+def _sized(a: CohortAnalysis) -> DataFrame:
+    """The rows of question 1 out of files of one MB each, read back by their manifest."""
+    path = f"{checkpoint_dir(a.review.sparkSession)}/sized-{uuid.uuid4().hex}"
+    rows = a.q1_box_rows
+    export_sized(rows, path, 1 << 20)
+    return read_sized(a.review.sparkSession, path, rows.schema)
+
+
 #: A rank error that no quartile passes: over nine standard deviations at ``SKETCH_K``.
 RANK_TOLERANCE = 0.02
 
@@ -218,6 +264,9 @@ QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
     "q1_box_rows_tsv": lambda a: tsv_lines(a.q1_box_rows),
     "q2_bar_tsv": lambda a: tsv_lines(a.q2_bar),
     "q2_box_rows_tsv": lambda a: tsv_lines(a.q2_box_rows),
+    "q1_box_rows_sized": _sized,
+    # input with bad lines
+    "quarantined_users": _quarantined_users,
     # over tables in buckets of the join key
     "category_reviews_colocated": lambda a: _colocated(a, "business_id").rows("category_reviews"),
     "reviews_with_status_colocated": lambda a: _colocated(a, "user_id").rows("reviews_with_status"),
@@ -230,6 +279,7 @@ QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
     # kept up to date over ingests of reviews
     "q1_bar_incremental": lambda a: _incremental(a).q1_bar,
     "q2_bar_incremental": lambda a: _incremental(a).q2_bar,
+    "q2_bar_streamed": _streamed,
     # quartiles from stored sketches
     "q1_box_sketched": lambda a: _box_sketched(a, "q1", a.q1_length_counts),
     "q2_box_sketched": lambda a: _box_sketched(a, "q2", a.q2_length_counts),
