@@ -85,3 +85,18 @@ def test_identities_expire_and_sums_stay(spark, star):  # noqa: F811
             time.sleep(0.2)
         query.stop()
         assert [x.review_counts for x in q2_bar(spark, top).collect()] == [n]
+
+
+def test_reviews_meet_no_python_state_and_batches_need_rows(spark, star):  # noqa: F811
+    # Without a time limit, deduplication and relabelling are Spark's own operators.
+    stream = _Stream(spark, star)
+    r = spark.readStream.schema(star.review.schema).parquet(f"{stream.top}/reviews")
+    u = spark.readStream.schema(USER).parquet(f"{stream.top}/users")
+    plan = label_changes(review_events(r).unionByName(status_events(u)))._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in plan and "Deduplicate" in plan
+    for step in STEPS:
+        stream.step(*step)
+    held = spark.read.parquet(f"{stream.top}/firsts")
+    # One row each time a first year falls: u1 to 2014, 2012, 2010; u3 and u4 once.
+    assert sorted((x.user, x.first) for x in held.select("user", "first").collect()) == [("u1", 2010), ("u1", 2012), ("u1", 2014), ("u3", 2015), ("u4", 2016)]
+    assert len(glob.glob(f"{stream.top}/progress/commits/[0-9]*")) == len(STEPS)
