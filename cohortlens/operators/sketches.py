@@ -28,10 +28,15 @@ def rank_error(k: int = SKETCH_K) -> float:
     return 2.296 / k**0.9021
 
 
+def sketch_column(measure: str = "length_of_review", k: int = SKETCH_K) -> F.Column:
+    """The aggregate that makes a sketch."""
+    return F.kll_sketch_agg_bigint(F.col(measure).cast("long"), F.lit(k))
+
+
 def sketch(rows: DataFrame, keys: Sequence[str], measure: str = "length_of_review", k: int = SKETCH_K) -> DataFrame:
     """``_n`` (non-null) and ``_sketch`` of the measure per group; combined in the map task."""
     return rows.groupBy(*keys).agg(
-        F.count(measure).alias("_n"), F.kll_sketch_agg_bigint(F.col(measure).cast("long"), F.lit(k)).alias("_sketch")
+        F.count(measure).alias("_n"), sketch_column(measure, k).alias("_sketch")
     )
 
 

@@ -9,8 +9,10 @@ smallest date that holds it. Settling a date takes its registry without the iden
 smaller dates. So dates may come in any order and be sent again: an update re-settles the date
 and, of the larger ones, those that hold an identity which the date gained or lost.
 
-The registry is sorted by review year, so settling a date reads only the files of the years
-it holds. Partials are made with the users, businesses and taxonomy given; when these change,
+Reviews of two dates are compared only in the years that both hold, and a date that is new or
+alone is not compared at all: its registry is what it brings. Settling a date makes both
+questions' partials in one pass, in which reviews meet the users once and the businesses once.
+Partials are made with the users, businesses and taxonomy given; when these change,
 ``rebuild`` makes all partials anew from the registries, without the reviews. An update
 that was cut off is completed by sending the date again.
 
@@ -27,8 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.config import write_stage
-from cohortlens.functions.columns import year_number
-from cohortlens.operators import measures, sketches, summaries
+from cohortlens.functions.columns import first_status_year, holds_status, pre_post_label, split_list, year_number
+from cohortlens.operators import cohorts, measures, sketches, summaries
+from cohortlens.operators.joins import broadcast_if
 from cohortlens.plans.pipelines import Q2_LABEL, CohortAnalysis
 
 IDENTITY = ["user_id", "date", "business_id", "review_id", "length_of_review"]
@@ -69,12 +72,20 @@ class IncrementalSummaries:
         if not _DATE.match(date):
             raise ValueError(f"{date!r} can't name a partition")
         fresh = measures.review_lengths(reviews).withColumn("review_year", year_number("date"))
-        fresh = write_stage(fresh.select(*IDENTITY, "review_year"))
-        later = self.registry.where(F.col("ingest_date") > date)
+        fresh = fresh.select(*IDENTITY, "review_year")
         old = self.registry.where(F.col("ingest_date") == date).select(*fresh.columns)
-        changed = _minus(old, fresh).unionByName(_minus(fresh, old))
-        touched = sorted(x.ingest_date for x in _matching(later, changed, "left_semi").select("ingest_date").distinct().collect())
-        self._replace("registry", date, fresh.sortWithinPartitions("review_year"))
+        if old.isEmpty():  # a new date gains all that it brings
+            self._replace("registry", date, fresh)
+            changed = self.registry.where(F.col("ingest_date") == date).select(*fresh.columns)
+        else:
+            fresh = write_stage(fresh)
+            changed = write_stage(_minus(old, fresh).unionByName(_minus(fresh, old)))
+            self._replace("registry", date, fresh)
+        later = self.registry.where(F.col("ingest_date") > date)
+        touched = []
+        if not later.isEmpty():
+            later, changed = _near(later, changed), _near(changed, later)
+            touched = sorted(x.ingest_date for x in _matching(later, changed, "left_semi").select("ingest_date").distinct().collect())
         for d in [date, *touched]:
             self._settle(d)
         return [date, *touched]
@@ -85,23 +96,27 @@ class IncrementalSummaries:
             self._settle(date)
 
     def owned(self, date: str) -> DataFrame:
-        """The reviews of a date that no smaller date holds."""
+        """The reviews of a date that no smaller date holds. Only those of years that smaller
+        dates hold too are compared."""
         own = self.registry.where(F.col("ingest_date") == date).drop("ingest_date")
-        years = own.agg(F.min("review_year"), F.max("review_year")).first()
         before = self.registry.where(F.col("ingest_date") < date)
-        year = F.col("review_year")
-        near = year.isNull() if years[0] is None else year.isNull() | year.between(*years)
-        return _minus(own, before.where(near))
+        years = _years(before)
+        if not years:
+            return own
+        shared = _in_years(years)
+        return own.where(~shared).unionByName(_minus(own.where(shared), _near(before, own)))
 
     def _settle(self, date: str) -> None:
-        owned = write_stage(self.owned(date).select(*IDENTITY))
-        a = CohortAnalysis(self.business, owned, self.user, self.taxonomy)
-        for name, partials in (("q1", a.q1_partials()), ("q2", a.q2_partials())):
-            sums = partials.groupBy(*KEYS[name]).agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+        """One pass over the owned reviews: partials by both questions' cohorts at once, a few
+        rows, out of which each question's are merged."""
+        a = _Owned(self.business, self.owned(date).select(*IDENTITY), self.user, self.taxonomy)
+        both = write_stage(a.partials_of_both(self.sketch_k))
+        for name, keys in KEYS.items():
+            rows = both.where(F.col(Q2_LABEL).isNotNull()) if name == "q2" else both
+            sums = rows.groupBy(*keys).agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
             self._replace(name, date, sums.coalesce(1))  # cohorts x categories rows
-        if self.sketch_k:
-            for name, parts in (("q1", a.q1_sketches(self.sketch_k)), ("q2", a.q2_sketches(self.sketch_k))):
-                self._replace(f"{name}_sketch", date, sketches.merge_sketches(parts, KEYS[name], self.sketch_k).coalesce(1))
+            if self.sketch_k:
+                self._replace(f"{name}_sketch", date, sketches.merge_sketches(rows, keys, self.sketch_k).coalesce(1))
 
     @property
     def q1_bar(self) -> DataFrame:
@@ -123,6 +138,45 @@ class IncrementalSummaries:
         return sketches.box_from_sketches(sketches.merge_sketches(held, KEYS[name], self.sketch_k), KEYS[name])
 
 
+class _Owned(CohortAnalysis):
+    """An analysis of reviews that are distinct already."""
+
+    @property
+    def review_lengths(self) -> DataFrame:
+        return self.review
+
+    def partials_of_both(self, sketch_k: int | None) -> DataFrame:
+        """Sums, counts and, if asked for, a quantile sketch per (status, label, Category);
+        the label is null where question 2 has none. Reviews meet each side once."""
+        first = F.when(holds_status("elite"), first_status_year(split_list("elite"))).alias("first_elite_year")
+        users = cohorts.user_status(self.user).select("user_id", "status", first)
+        rows = self.review_lengths.select("user_id", "business_id", year_number("date").alias("review_year"), "length_of_review")
+        rows = rows.join(broadcast_if(users, self._fits("status")), "user_id").drop("user_id")
+        # A sketch takes rows one by one and is large, so these meet their few categories first.
+        tagged = rows.join(self._business_top_side, "business_id")
+        tagged = tagged.withColumn(Q2_LABEL, pre_post_label("review_year", "first_elite_year"))
+        aggs = [F.sum("length_of_review").alias("_sum"), F.count("length_of_review").alias("_n")]
+        if sketch_k:
+            aggs.append(sketches.sketch_column("length_of_review", sketch_k).alias("_sketch"))
+        return tagged.groupBy("status", Q2_LABEL, "Category").agg(*aggs)
+
+
+def _years(rows: DataFrame) -> list[int | None]:
+    """The review years of some registered rows: a few."""
+    return [x.review_year for x in rows.select("review_year").distinct().collect()]
+
+
+def _in_years(years: list[int | None]) -> F.Column:
+    year = F.col("review_year")
+    known = F.coalesce(year.isin([y for y in years if y is not None]), F.lit(False))
+    return known | year.isNull() if None in years else known
+
+
+def _near(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows of a year that ``other`` holds: a review's year is part of its identity."""
+    return rows.where(_in_years(_years(other)))
+
+
 def _matching(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on the whole identity, null equal to null."""
     names = other.select(*[F.col(c).alias(f"_{c}") for c in IDENTITY])

@@ -139,11 +139,16 @@ def _typed(a: CohortAnalysis, text: str, **args: str) -> DataFrame:
 INGEST_YEARS = 3  # review years that come together
 
 
+def _arrived(a: CohortAnalysis) -> CohortAnalysis:
+    """The analysis over the narrow reviews, written once: the adapter's joins run once."""
+    reviews = write_stage(a.review.select("review_id", "user_id", "business_id", "date", "length_of_review"))
+    return CohortAnalysis(a.business, reviews, a.user, a.taxonomy)
+
+
 def _incremental(a: CohortAnalysis, sketch_k: int | None = None) -> IncrementalSummaries:
     """The summaries after the reviews came in ingests of some years each, the second half
     first; each ingest repeats some reviews of the years before, which count once."""
-    spark = a.review.sparkSession
-    reviews = write_stage(a.review.select("review_id", "user_id", "business_id", "date", "length_of_review"))
+    spark, reviews = a.review.sparkSession, a.review
     part = F.floor(year_number("date") / INGEST_YEARS)
     parts = sorted(x.p for x in reviews.select(part.alias("p")).distinct().collect())
     kept = IncrementalSummaries(spark, f"{checkpoint_dir(spark)}/increments-{uuid.uuid4().hex}", a.business, a.user, a.taxonomy, id_type="bigint", sketch_k=sketch_k)
@@ -200,12 +205,12 @@ def _sized(a: CohortAnalysis) -> DataFrame:
 RANK_TOLERANCE = 0.02
 
 
-def _box_sketched(a: CohortAnalysis, name: str, counts: DataFrame) -> DataFrame:
+def _box_sketched(a: CohortAnalysis, name: str) -> DataFrame:
     """The box summary merged from sketches stored by ingest: what sketches hold exactly, and
     whether each quartile's rank, counted over all reviews, is within the tolerance."""
     keys = KEYS[name]
     box = write_stage(_incremental(a, SKETCH_K).box(name))
-    errors = quartile_rank_errors(counts, box, keys)
+    errors = quartile_rank_errors(getattr(a, f"{name}_length_counts"), box, keys)
     near = [(F.col(f"{q}_error") <= RANK_TOLERANCE).alias(f"{q}_near") for q in ("q1", "median", "q3")]
     return box.join(errors, keys).select(*keys, "n", "min_length", "max_length", *near)
 
@@ -277,12 +282,12 @@ QUERIES: dict[str, Callable[[CohortAnalysis], DataFrame]] = {
     "q1_bar_compat_sql": lambda a: _typed(a, Q1_SQL, holder=ELITE, other=NON_ELITE),
     "q2_bar_compat_sql": lambda a: _typed(a, Q2_SQL, post=POST_LABEL, pre=PRE_LABEL),
     # kept up to date over ingests of reviews
-    "q1_bar_incremental": lambda a: _incremental(a).q1_bar,
-    "q2_bar_incremental": lambda a: _incremental(a).q2_bar,
+    "q1_bar_incremental": lambda a: _incremental(_arrived(a)).q1_bar,
+    "q2_bar_incremental": lambda a: _incremental(_arrived(a)).q2_bar,
     "q2_bar_streamed": _streamed,
     # quartiles from stored sketches
-    "q1_box_sketched": lambda a: _box_sketched(a, "q1", a.q1_length_counts),
-    "q2_box_sketched": lambda a: _box_sketched(a, "q2", a.q2_length_counts),
+    "q1_box_sketched": lambda a: _box_sketched(_arrived(a), "q1"),
+    "q2_box_sketched": lambda a: _box_sketched(_arrived(a), "q2"),
     # operations
     "stage_counts": lambda a: run_counted(a).to_frame(a.review.sparkSession),
     "review_grains": _review_grains,
