@@ -253,7 +253,12 @@ class CohortAnalysis:
     def q1_sketches(self, k: int = SKETCH_K) -> DataFrame:
         """Mergeable quantile sketches behind ``q1_box_summary``."""
         rows = self.review_lengths.join(self._status_side(), "user_id")
-        return self._by_category(rows, ["status"], lambda r, keys: sketch(r, keys, k=k))
+        return self._sketched(rows, "status", k)
+
+    def _sketched(self, rows: DataFrame, cohort: str, k: int) -> DataFrame:
+        """Rows meet their categories before they are sketched: one sketch per cohort and
+        category in a map task, never one per business, which would outgrow the rows."""
+        return sketch(rows.join(self._business_top_side, "business_id"), [cohort, "Category"], k=k)
 
     @cached_property
     def q1_by_business(self) -> DataFrame:
@@ -319,7 +324,7 @@ class CohortAnalysis:
 
     def q2_sketches(self, k: int = SKETCH_K) -> DataFrame:
         """Mergeable quantile sketches behind ``q2_box_summary``."""
-        return self._by_category(self._q2_labelled(), [Q2_LABEL], lambda r, keys: sketch(r, keys, k=k))
+        return self._sketched(self._q2_labelled(), Q2_LABEL, k)
 
     # -- question 2, the notebook's form ------------------------------------------
 

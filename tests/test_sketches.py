@@ -74,3 +74,11 @@ def test_without_sketches_there_is_no_box(spark, star):  # noqa: F811
     kept = IncrementalSummaries(spark, f"{checkpoint_dir(spark)}/inc-{uuid.uuid4().hex}", star.business, star.user, star.taxonomy)
     with pytest.raises(ValueError):
         kept.box("q1")
+
+
+@pytest.mark.parametrize("parts", ["q1_sketches", "q2_sketches"])
+def test_no_sketch_per_business_where_businesses_cant_be_broadcast(spark, star, parts, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(CohortAnalysis, "_fits", lambda self, side: side == "first_year")
+    plan = getattr(star, parts)()._jdf.queryExecution().optimizedPlan().toString()
+    made = [x for x in plan.splitlines() if "kll_sketch_agg" in x]
+    assert len(made) == 1 and "business_id" not in made[0]
