@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.config import write_stage
+
 #: A key is hot when it holds more rows than this many average buckets.
 HOT = 2
 
@@ -54,7 +56,7 @@ def _open(spark: SparkSession, key: str, buckets: int, name: str, path: str, sch
 
 def hot_keys(reviews: DataFrame, key: str, buckets: int) -> DataFrame:
     """(key) of the keys with more rows than ``HOT`` average buckets; null is a key."""
-    counts = reviews.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = write_stage(reviews.groupBy(key).agg(F.count(F.lit(1)).alias("n")))  # read for the total and for the keys
     total = counts.agg(F.sum("n")).first()[0] or 0
     return counts.where(F.col("n") * buckets > HOT * total).select(key)
 
@@ -66,7 +68,12 @@ def ingest(reviews: DataFrame, partner: DataFrame, key: str, folder: str, bucket
     folder, name = folder.rstrip("/"), f"colocated_{uuid.uuid4().hex}"
     hot_keys(reviews, key, buckets).write.parquet(f"{folder}/hot_keys")
     hot = F.broadcast(spark.read.parquet(f"{folder}/hot_keys").withColumnRenamed(key, "_hot"))  # buckets / HOT rows at most
+    none = hot.isEmpty()
     for side, df in (("reviews", reviews), ("partner", partner)):
+        if none:  # what the side comes from isn't run again for nothing
+            _write(df, key, buckets, f"{name}_{side}", f"{folder}/{side}")
+            spark.createDataFrame([], df.schema).write.parquet(f"{folder}/hot_{side}")
+            continue
         same = df[key].eqNullSafe(F.col("_hot"))
         _write(df.join(hot, same, "left_anti"), key, buckets, f"{name}_{side}", f"{folder}/{side}")
         df.join(hot, same, "left_semi").write.parquet(f"{folder}/hot_{side}")

@@ -97,3 +97,17 @@ def test_tables_open_in_another_session(spark, hot_star):  # noqa: F811
     assert "Exchange" not in plan
     strangers = [other.createDataFrame(df.collect(), df.schema) for df in (hot_star.business, hot_star.user, hot_star.taxonomy)]
     assert rows(ColocatedAnalysis(again, *strangers).q1_bar) == want
+
+
+def test_without_hot_keys_the_reviews_run_for_the_count_and_one_write(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(x):
+        seen.add(1)
+        return True
+
+    reviews = spark.range(400).select(F.col("id").cast("string").alias("review_id"), (F.col("id") % 100).alias("user_id"))
+    reviews = reviews.where(F.udf(look, "boolean")("review_id"))
+    t = ingest(reviews, spark.range(100).withColumnRenamed("id", "user_id"), "user_id", f"{checkpoint_dir(spark)}/cold-{uuid.uuid4().hex}")
+    assert seen.value == 2 * 400
+    assert (t.reviews.count(), t.hot_reviews.count(), t.partner.count(), t.hot_partner.count()) == (400, 0, 100, 0)
