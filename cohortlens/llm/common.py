@@ -129,7 +129,7 @@ def words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     first[cuts] = inside[cuts]
     last[cuts - 1] = inside[cuts - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    row = np.searchsorted(offs, start, side="right") - 1
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(start, offs)))
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((n + 1,), dtype="<u8", buffer=padded, strides=(1,))
     left = end - start

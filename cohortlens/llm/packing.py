@@ -8,17 +8,19 @@ window's end is cut there; its rest opens the next window and is that window's s
 document longer than a window fills windows by itself. So only a shard's last window is
 padded: below 0.2 percent of all tokens.
 
-The order. First by topic: the nearest of ``TOPICS`` centres, found by spherical k-means on
-the hashed idf-weighted words of a sample. Then by two terms, drawn with a shared hash and
-a chance that grows with idf: documents draw the same one in proportion to the weight of
-the terms they share, however large the input is. Many documents of equal draws (copies)
+The order. Words are weighed by their document frequency among all documents, counted in a
+table of hashes. First by topic: the nearest of ``TOPICS`` centres, found by spherical k-means
+over the points of all documents, their weighted words hashed to ``DIMS`` whole numbers; only
+the places that the centres set out from are those of a few rows. Then by two terms, drawn
+with a shared hash and a chance that grows with idf: documents draw the same one in proportion
+to the weight of the terms they share, however large the input is. Many documents of equal draws (copies)
 follow by row number, over as many shards as they need. A neighbour in another shard is
 still never a candidate; the README has the share of true best neighbours that are met.
 
 Tokens. Ids come from the tokenizer file, then ``END_ID`` closes each document. The
 tokenizer's normaliser and pre-tokenizer never look across ASCII white space, so a word's
 ids don't depend on its neighbours: each worker encodes a word once and keeps the ids of
-up to ``CACHE_WORDS`` words. Words of plain Latin letters, digits and signs go to the same
+up to ``CACHE_WORDS`` words by the word's 64-bit hash. Words of plain Latin letters, digits and signs go to the same
 model in one call, cut where the tokenizer's own pattern cuts; all others go through the
 whole tokenizer.
 
@@ -27,8 +29,9 @@ Long texts are cut into as many windows as they need. No rows: no rows. Columns
 the id and the text are not read.
 
 Scale. The texts are written once with their keys and shuffled once; the order is that of
-a narrow table. The driver holds a sample of bounded size and the first key of each shard
-(16 MB for 1 TB of text). A task holds one shard at a time; a longer document makes its
+a narrow table. Counts and centres are sums over all tasks, tables of a fixed size (8 MB and
+256 KB), whole numbers and so the same however the rows are dealt. The driver holds these and
+the first key of each shard (16 MB for 1 TB of text). A task holds one shard at a time; a longer document makes its
 shard larger by itself only. Terms in more than half of a shard have a BM25 weight of
 zero by the formula and aren't scored. The tokenizer file goes to workers as a broadcast of
 its fixed size.
@@ -51,55 +54,60 @@ from cohortlens.llm.common import NARROW_ROWS, cut, cut_table, mix, ship, slices
 LENGTH, END_ID = 2048, 1
 SHARD_BYTES = 2 << 20
 K1, B = 1.2, 0.75
-CACHE_WORDS = 600_000
-#: The sample that topics and term weights come from: about so many documents, of each so
-#: many distinct words.
-SAMPLE, SAMPLE_WORDS = 1000, 1024
+CACHE_WORDS = 1_500_000
+#: Text that is split into words at once: the processor's cache holds it.
+SLICE_BYTES = 1 << 19
 TOPICS, ROUNDS = 64, 8
-#: Bits of the hashed words of a topic, and of the table of document frequencies.
-TOPIC_BITS, WEIGHT_BITS = 12, 20
+#: Numbers of a point, and its length; bits of the table of document frequencies, and its parts.
+DIMS, UNIT = 512, 256
+WEIGHT_BITS, COUNT_BLOCKS = 20, 64
 
 _LATIN = "À-ÖØ-öø-ÿ"
-#: Words that the fast way takes: there, lower-casing and normalising are Python's too.
-_PLAIN = re.compile(rf"[\x21-\x7e{_LATIN}]+")
+#: Bytes that no word of the fast way has (nor the signs of multiplication and division): in
+#: all other words, lower-casing and normalising are Python's too.
+_ODD = np.ones(256, bool)
+_ODD[[10, *range(0x21, 0x7F), *range(0x80, 0xC0), 0xC3]] = False
 #: The tokenizer's own pattern on lower-cased plain words.
 _CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}\n]+")
 
 
 class Store:
-    """Id runs by name, end to end in one array; emptied when it holds too many."""
+    """Id runs by the hash of a word, end to end in one array; emptied when it holds too many."""
 
     def __init__(self):
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict = {}
+        self.names = np.zeros(0, np.uint64)  # sorted, with the place and size of each run
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
-        self.ends = np.zeros(1 << 16, np.int64)  # where the n-th name's run ends, from place 1
 
-    def add(self, names: list, flat: np.ndarray, ends: np.ndarray) -> None:
+    def add(self, names: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> None:
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
-        n = len(self.at)
-        while n + len(names) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ends[n + 1 : n + 1 + len(names)] = ends + self.used
-        self.at.update(zip(names, range(n, n + len(names)), strict=True))
+        order = np.argsort(names)
+        at = np.searchsorted(self.names, names[order])
+        size = np.diff(ends, prepend=0)
+        self.names = np.insert(self.names, at, names[order])
+        self.begin = np.insert(self.begin, at, (ends - size + self.used)[order])
+        self.size = np.insert(self.size, at, size[order])
         self.used += len(flat)
 
-    def runs(self, names: list) -> tuple[np.ndarray, np.ndarray]:
+    def runs(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, size) of each name's ids in ``flat``."""
-        at = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
-        return self.ends[at], self.ends[at + 1] - self.ends[at]
-
-    def room(self, names: list) -> list:
-        """Those of the names that are not held; empties the store if all don't fit."""
-        new = [x for x in names if x not in self.at]
-        if len(self.at) + len(new) > CACHE_WORDS and self.at:
+        at = np.searchsorted(self.names, names)
+        return self.begin[at], self.size[at].astype(np.int64)
+
+    def room(self, names: np.ndarray) -> np.ndarray:
+        """Places of the names that are not held; empties the store if all don't fit."""
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+            new = np.flatnonzero(self.names[at] != names)
+            if len(self.names) + len(new) <= CACHE_WORDS:
+                return new
             self.clear()
-            return names
-        return new
+        return np.arange(len(names))
 
 
 def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -108,6 +116,25 @@ def gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.repeat(begin - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
 
 
+def named(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, sorted; where each appears first; which of them each is. ``np.unique``
+    in less time, as only the distinct ones are sorted."""
+    met = pa.array(h).dictionary_encode()
+    names, of = met.dictionary.to_numpy(), met.indices.to_numpy()
+    first, rank, order = np.empty(len(names), np.int64), np.empty(len(names), np.int64), np.argsort(names)
+    first[of[::-1]] = np.arange(len(of) - 1, -1, -1)
+    rank[order] = np.arange(len(names))
+    return names[order], first[order], rank[of]
+
+
+def closed(data: np.ndarray, start: np.ndarray, end: np.ndarray, by: bytes) -> np.ndarray:
+    """The words data[start:end], end to end, a byte after each."""
+    size = end - start + 1
+    out = gather(np.append(data, np.uint8(0)), start, size)
+    out[np.cumsum(size) - 1] = by[0]
+    return out
+
+
 class Encoder:
     """Ids of words, kept for words, and parts of words, met before."""
 
@@ -116,7 +143,7 @@ class Encoder:
 
         self.whole = Tokenizer.from_str(source)
         spec = json.loads(source)
-        self.special = tuple(t["content"] for t in spec["added_tokens"])
+        self.special = tuple(t["content"].encode() for t in spec["added_tokens"])
         model = spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
             {"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
         self.model = Tokenizer.from_str(json.dumps(model))
@@ -125,44 +152,49 @@ class Encoder:
         self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.words, self.bits = Store(), Store()
 
-    def encode(self, new: list[bytes]) -> None:
-        """Adds words to the store."""
-        texts = [w.decode("utf-8") for w in new]
-        ok = [_PLAIN.fullmatch(s) is not None for s in texts]
-        if any(x in s for s in texts if "<" in s for x in self.special):
-            ok = [o and not any(x in s for x in self.special) for o, s in zip(ok, texts, strict=True)]
-        plain = [s for s, o in zip(texts, ok, strict=True) if o]
-        if plain:
+    def encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, names: np.ndarray) -> None:
+        """Adds the words data[start:end] to the store."""
+        lines = closed(data, start, end, b"\n")
+        stop = np.cumsum(end - start + 1)
+        odd = _ODD[lines]
+        odd[1:] |= (lines[:-1] == 0xC3) & ((lines[1:] == 0x97) | (lines[1:] == 0xB7))
+        ok = np.add.reduceat(odd, stop - (end - start + 1), dtype=np.int64) == 0
+        raw = lines.tobytes()
+        if any(x in raw for x in self.special):
+            ok &= ~np.array([any(x in w for x in self.special) for w in raw[:-1].split(b"\n")])
+        if ok.any():
             # A space after each part, a line for each word.
-            cut = _CUT.sub(r"\g<0> ", "\n".join(plain).lower())
-            sign = np.frombuffer(cut.encode("latin-1"), np.uint8)
-            parts = np.diff(np.concatenate([[0], np.cumsum(sign == 32)[np.flatnonzero(sign == 10)], [(sign == 32).sum()]]))
-            bits = cut.split()
-            fresh = self.bits.room(list(dict.fromkeys(bits)))
-            if fresh:
-                ids = np.array(self.model.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, dtype=np.uint16)
+            text = raw if ok.all() else closed(data, start[ok], end[ok], b"\n").tobytes()
+            parted = pa.array([_CUT.sub(r"\g<0> ", text.decode("utf-8").lower())])
+            sign, _ = string_bytes(parted)
+            _, left, right, h = words(parted)
+            parts = np.searchsorted(left, np.flatnonzero(sign == 10))  # before each line's end
+            bit, first, of = named(h)
+            new = self.bits.room(bit)
+            if len(new):
+                fresh = closed(sign, left[first[new]], right[first[new]], b" ").tobytes().decode("utf-8")
+                ids = np.array(self.model.encode_batch_fast([fresh], add_special_tokens=False)[0].ids, dtype=np.uint16)
                 stops = np.flatnonzero(self.ends[ids]) + 1
-                if len(stops) != len(fresh):
+                if len(stops) != len(new):
                     raise ValueError("the model left a part without a closing token")
-                self.bits.add(fresh, ids, stops)
-            begin, size = self.bits.runs(bits)
-            stops = np.cumsum(size)[np.cumsum(parts) - 1]
-            self.words.add([w for w, o in zip(new, ok, strict=True) if o], gather(self.bits.flat, begin, size), stops)
-        rest = [(w, s) for w, s, o in zip(new, texts, ok, strict=True) if not o]
-        if rest:
-            got = [e.ids for e in self.whole.encode_batch_fast([s for _, s in rest], add_special_tokens=False)]
-            self.words.add([w for w, _ in rest], np.array([i for x in got for i in x], np.uint16), np.cumsum([len(x) for x in got]))
+                self.bits.add(bit[new], ids, stops)
+            begin, size = self.bits.runs(bit)
+            begin, size = begin[of], size[of]
+            self.words.add(names[ok], gather(self.bits.flat, begin, size), np.cumsum(size)[parts - 1])
+        rest = np.flatnonzero(~ok)
+        if len(rest):
+            texts = [raw[a:b].decode("utf-8") for a, b in zip((stop - 1 - (end - start))[rest], stop[rest] - 1, strict=True)]
+            got = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            self.words.add(names[rest], np.array([i for x in got for i in x], np.uint16), np.cumsum([len(x) for x in got]))
 
     def ids(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Ids of each text; then (row, term, number of terms) for the index."""
         data, _ = string_bytes(texts)
         row, start, end, h = words(texts)
-        _, first, term = np.unique(h, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        names = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        names, first, term = named(h)
         new = self.words.room(names)
-        if new:
-            self.encode(new)
+        if len(new):
+            self.encode(data, start[first[new]], end[first[new]], names[new])
         begin, size = self.words.runs(names)
         lens = size[term]
         all_ids = gather(self.words.flat, begin[term], lens)
@@ -230,72 +262,135 @@ def fill(sizes: list[int], neighbours, length: int = LENGTH) -> list[tuple[int,
             place(int(doc))
 
 
-class Order:
-    """Topic centres and term weights, from the distinct word hashes of a sample."""
-
-    def __init__(self, sample: list[np.ndarray]):
-        n = len(sample)
-        df = np.zeros(1 << WEIGHT_BITS, np.int64)
-        for h in sample:
-            df[np.unique(h >> np.uint64(64 - WEIGHT_BITS))] += 1
-        self.weight = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))).astype(np.float32)
-        points = self._points(np.concatenate([np.zeros(0, np.uint64), *sample]), np.repeat(np.arange(n), [len(h) for h in sample]), n)
-        self.centres = points[np.random.default_rng(1).permutation(n)[:TOPICS]] if n else np.zeros((1, 1 << TOPIC_BITS), np.float32)
-        for _ in range(ROUNDS):
-            near = (points @ self.centres.T).argmax(1)
-            sums = np.zeros_like(self.centres)
-            np.add.at(sums, near, points)
-            size = np.linalg.norm(sums, axis=1, keepdims=True)
-            self.centres = np.where(size > 0, sums / np.maximum(size, 1e-9), self.centres)
-
-    def _weights(self, h: np.ndarray) -> np.ndarray:
-        return self.weight[h >> np.uint64(64 - WEIGHT_BITS)]
-
-    def _points(self, h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-        """Unit vectors of ``n`` documents: weights of their words, by hash."""
-        at = row * (1 << TOPIC_BITS) + (h & np.uint64((1 << TOPIC_BITS) - 1)).astype(np.int64)
-        out = np.bincount(at, weights=self._weights(h), minlength=n << TOPIC_BITS).reshape(n, -1).astype(np.float32)
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
-
-    def keys(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(topic, first draw, second draw) of each text; a draw stands for a term."""
-        n = len(texts)
-        row, _, _, h = words(texts)
-        ends = np.searchsorted(row, np.arange(n + 1))
-        topic = np.zeros(n, np.int32)
-        for lo in range(0, n, 64):
-            hi = min(n, lo + 64)
-            part = slice(ends[lo], ends[hi])
-            topic[lo:hi] = (self._points(h[part], row[part] - lo, hi - lo) @ self.centres.T).argmax(1)
-        # The smallest of exponential draws at the rate of the weight, and the next smallest.
-        w = self._weights(h)
-        u = ((mix(h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
-        with np.errstate(divide="ignore"):
-            draw = np.where(w > 0, -np.log(u) / w, np.inf)
-        some = np.flatnonzero(np.diff(ends))
-        first, second = np.full(n, np.inf), np.full(n, np.inf)
-        if len(some):
-            first[some] = np.minimum.reduceat(draw, ends[some])
-            second[some] = np.minimum.reduceat(np.where(draw == first[row], np.inf, draw), ends[some])
-        return topic, first, second
-
-
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def weights(counts: np.ndarray, n: int) -> np.ndarray:
+    """Idf of each place in the table of document frequencies of ``n`` documents."""
+    return np.maximum(0.0, np.log((n - counts + 0.5) / (counts + 0.5))).astype(np.float32)
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Vectors of length ``UNIT`` in whole numbers: their products and sums are exact, so
+    that no topic depends on how the rows were dealt."""
+    size = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    return np.clip(np.rint(x * (UNIT / size)), -127, 127).astype(np.int8)
+
+
+def draws(texts: pa.Array, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(point, first draw, second draw) of each text. The point has the weights of its words,
+    by hash, with a sign; a draw stands for a term."""
+    n = len(texts)
+    row, _, _, h = words(texts)
+    ends = np.searchsorted(row, np.arange(n + 1))
+    w = weight[h >> np.uint64(64 - WEIGHT_BITS)]
+    at, signed = (h & np.uint64(DIMS - 1)).astype(np.int64), np.where(h & np.uint64(DIMS), -w, w)
+    points = np.zeros((n, DIMS), np.int8)
+    for lo in range(0, n, 1024):
+        hi = min(n, lo + 1024)
+        part = slice(ends[lo], ends[hi])
+        x = np.bincount((row[part] - lo) * DIMS + at[part], weights=signed[part], minlength=(hi - lo) * DIMS)
+        points[lo:hi] = _whole(x.reshape(hi - lo, DIMS))
+    # The smallest of exponential draws at the rate of the weight, and the next smallest.
+    u = ((mix(h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
+    with np.errstate(divide="ignore"):
+        draw = np.where(w > 0, -np.log(u) / w, np.inf)
+    some = np.flatnonzero(np.diff(ends))
+    first, second = np.full(n, np.inf), np.full(n, np.inf)
+    if len(some):
+        first[some] = np.minimum.reduceat(draw, ends[some])
+        second[some] = np.minimum.reduceat(np.where(draw == first[row], np.inf, draw), ends[some])
+    return points, first, second
+
+
+def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The centre of each point; products of whole numbers, exact as floats."""
+    return (points.astype(np.float32) @ centres.T.astype(np.float32)).argmax(1).astype(np.int32)
+
+
+def _points(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("point").to_pylist()), np.int8).reshape(-1, DIMS)
+
+
+def _rows(sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([x.tobytes() for x in sums], pa.binary())], names=["block", "sums"])
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, sums in zip(*(batch.column(c).to_pylist() for c in ("block", "sums")), strict=True):
+            own = np.frombuffer(sums, np.int64)
+            out[block] = out[block] + own if block in out else own
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["block", "sums"])
+
+
+def _summed(df: DataFrame, run) -> np.ndarray:
+    """The sum over all tasks of the table of whole numbers that ``run`` makes of each task's rows."""
+    some = df.mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(_add, "block int, sums binary").collect()
+    return np.array([np.frombuffer(r.sums, np.int64) for r in sorted(some)])
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << WEIGHT_BITS, np.int64)
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE_BYTES):
             row, _, _, h = words(part.column("text"))
+            at = (h >> np.uint64(64 - WEIGHT_BITS)).astype(np.int64)
             ends = np.searchsorted(row, np.arange(part.num_rows + 1))
-            got = [np.unique(h[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            got = [x[np.argsort(mix(x), kind="stable")[:SAMPLE_WORDS]] for x in got]
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array([x.tobytes() for x in got], pa.binary())], names=["row", "words"])
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                counts[at[a:b]] += 1  # once for each place, however often it is named
+    yield _rows(counts.reshape(COUNT_BLOCKS, -1))
 
 
-def _keyed(order):
+def _moved(centres):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = centres.value
+        sums = np.zeros(known.shape, np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
-                keys = [pa.array(x) for x in order.value.keys(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *keys], names=[*part.schema.names, *KEY[:3]])
+            points = _points(batch)
+            for lo in range(0, len(points), 4096):
+                part = points[lo : lo + 4096]
+                of = np.zeros((len(part), len(known)), np.float32)
+                of[np.arange(len(part)), nearest(part, known)] = 1
+                sums += np.rint(of.T @ part.astype(np.float32)).astype(np.int64)
+        yield _rows(sums)
+
+    return run
+
+
+def fit_topics(points: DataFrame) -> np.ndarray:
+    """Centres of spherical k-means over all rows (row, point): every round moves each centre
+    to the direction of the sum of its points, until none moves, ``ROUNDS`` times at most."""
+    spark = points.sparkSession
+    some = points.orderBy(F.xxhash64("row"), "row").limit(TOPICS).collect()
+    centres = np.array([np.frombuffer(r.point, np.int8) for r in some]).reshape(-1, DIMS)
+    for _ in range(ROUNDS):
+        sums = _summed(points.select("point"), _moved(spark.sparkContext.broadcast(centres)))
+        new = np.where(sums.any(1, keepdims=True), _whole(sums), centres)
+        if (new == centres).all():
+            break
+        centres = new
+    return centres
+
+
+def _keyed(weight):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE_BYTES):
+                points, first, second = draws(part.column("text"), weight.value)
+                keys = [pa.array([x.tobytes() for x in points], pa.binary()), pa.array(first), pa.array(second)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *keys], names=[*part.schema.names, "point", "first", "second"])
+
+    return run
+
+
+def _topics(centres):
+    """Rows with their topic in place of their point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topic = pa.array(nearest(_points(batch), centres.value))
+            rest = batch.drop_columns(["point"])
+            yield pa.RecordBatch.from_arrays([topic, *rest.columns], names=["topic", *rest.schema.names])
 
     return run
 
@@ -322,10 +417,10 @@ def _begins(before, shard_bytes: int):
     return run
 
 
-def _dealt(begins):
+def _dealt(centres, begins):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = begins.value
-        for batch in batches:
+        for batch in _topics(centres)(batches):
             own = np.empty(batch.num_rows, known.dtype)
             for c in KEY:
                 own[c] = batch.column(c).to_numpy()
@@ -340,11 +435,12 @@ def deal(d: DataFrame, total: int, count: int, shard_bytes: int) -> DataFrame:
     spark, kind = d.sparkSession, d.schema["id"].dataType.simpleString()
     if total <= shard_bytes:
         return d.withColumn("shard", F.lit(0).cast("long"))
-    some = d.where(F.pmod(F.xxhash64("row"), F.lit(max(1, count // SAMPLE))) == 0).select("row", "text")
-    some = sorted(some.mapInArrow(_sampled, "row long, words binary").collect())
-    order = spark.sparkContext.broadcast(Order([np.frombuffer(r.words, np.uint64) for r in some]))
-    keyed = cut_table(d.mapInArrow(_keyed(order), f"id {kind}, text string, row long, topic int, first double, second double"))
-    narrow = keyed.select(*KEY, (F.octet_length("text") + 16).cast("long").alias("bytes"))
+    counts = _summed(d.select("text"), _counted).reshape(-1)
+    weight = spark.sparkContext.broadcast(weights(counts, count))
+    keyed = cut_table(d.mapInArrow(_keyed(weight), f"id {kind}, text string, row long, point binary, first double, second double"))
+    centres = spark.sparkContext.broadcast(fit_topics(keyed.select("row", "point")))
+    narrow = keyed.select("point", *KEY[1:], (F.octet_length("text") + 16).cast("long").alias("bytes"))
+    narrow = narrow.mapInArrow(_topics(centres), "topic int, first double, second double, row long, bytes long")
     narrow = narrow.repartitionByRange(max(1, -(-count // NARROW_ROWS)), *KEY).sortWithinPartitions(*KEY)
     narrow = cut(narrow.withColumn("part", F.spark_partition_id()))
     sizes = sorted(narrow.groupBy("part").agg(F.sum("bytes").alias("bytes"), F.max(F.struct(*KEY, "bytes")).alias("last")).collect())
@@ -356,7 +452,7 @@ def deal(d: DataFrame, total: int, count: int, shard_bytes: int) -> DataFrame:
     before = spark.sparkContext.broadcast(before)
     begins = narrow.mapInArrow(_begins(before, shard_bytes), "topic int, first double, second double, row long").collect()
     known = np.array(sorted(tuple(r[c] for c in KEY) for r in begins), dtype=[("topic", "i4"), ("first", "f8"), ("second", "f8"), ("row", "i8")])
-    return keyed.mapInArrow(_dealt(spark.sparkContext.broadcast(known)), f"id {kind}, text string, row long, shard long")
+    return keyed.mapInArrow(_dealt(centres, spark.sparkContext.broadcast(known)), f"id {kind}, text string, row long, shard long")
 
 
 _ENCODERS: dict[int, Encoder] = {}

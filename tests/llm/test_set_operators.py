@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cohortlens.llm import decontaminate, html_extract, html_training, jaccard_join, packing, registry, suffix_dedup
@@ -289,6 +290,30 @@ def test_bm25_and_greedy_fill():
     assert packing.fill([15, 8], lambda s: np.zeros(2), 10) == [(0, 0, 10, 0, 0), (0, 10, 5, 1, 0), (1, 0, 5, 1, 5), (1, 5, 3, 2, 0)]
 
 
+def test_packing_counts_and_topics_come_from_all_documents(spark):
+    rng = random.Random(5)
+    texts = [" ".join([*prose(rng, 30, 300), f"{i % 70}topic"]) for i in range(2500)] + ["", None, "a a a"]
+    d = docs(spark, texts).select("text", F.col("doc_id").alias("row")).repartition(7)
+    counts = packing._summed(d.select("text"), packing._counted).reshape(-1)
+    want = np.zeros(1 << packing.WEIGHT_BITS, np.int64)
+    for x in texts:
+        _, _, _, h = words(pa.array([x], pa.string()))
+        want[np.unique(h >> np.uint64(64 - packing.WEIGHT_BITS)).astype(np.int64)] += 1
+    assert (counts == want).all()
+    points, _, _ = packing.draws(pa.array(texts, pa.string()), packing.weights(counts, len(texts)))
+    rows = [(i, bytearray(x.tobytes())) for i, x in enumerate(points)]
+    got = [packing.fit_topics(spark.createDataFrame(rows, "row long, point binary").repartition(n)) for n in (1, 6)]
+    assert (got[0] == got[1]).all()  # exact sums: no topic depends on how the rows were dealt
+    start = spark.createDataFrame(rows, "row long, point binary").orderBy(F.xxhash64("row")).limit(packing.TOPICS).collect()
+    centres = np.array([np.frombuffer(r.point, np.int8) for r in start])
+    for _ in range(packing.ROUNDS):  # every document moves its centre
+        near = (points.astype(np.int64) @ centres.T.astype(np.int64)).argmax(1)
+        for c in set(near.tolist()):
+            if (total := points[near == c].sum(0, dtype=np.int64)).any():
+                centres[c] = np.clip(np.rint(total * (packing.UNIT / np.linalg.norm(total))), -127, 127)
+    assert (got[0] == centres).all()
+
+
 def test_related_documents_share_a_shard(spark):
     rng = random.Random(12)
     texts = []
