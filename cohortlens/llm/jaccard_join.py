@@ -38,8 +38,9 @@ class of null ids only has a null class_id. Repeated rows are copies. Long texts
 whole. No rows: no rows. Columns other than the id and the text are not read.
 
 Scale. Copies collapse by a 128-bit signature of the set before anything is joined. Texts
-are shuffled once, to take the token sets of those with a possible partner to their units, and
-once more where there are large buckets, whose sets the further levels read.
+with a possible partner are shuffled once, to take their token sets to their units, and once
+more where there are large buckets, whose sets the further levels read. The others are kept
+from either shuffle by a Bloom filter sized for those asked for, where these can't be broadcast.
 """
 
 from __future__ import annotations
@@ -53,7 +54,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import cut, cut_narrow, mix, parts, shingles, ship, slices, table, words
+from cohortlens.llm.common import cut, cut_narrow, cut_table, mix, parts, shingles, ship, slices, table, words
+from cohortlens.operators.runtime_filter import runtime_filters
 
 WORDS, THRESHOLD = 5, 0.8
 RUNS, MAX_DEPTH = 24, 3
@@ -186,9 +188,19 @@ def _with_sets(k: int):
     return run
 
 
+def _asked(df: DataFrame) -> DataFrame:
+    """Rows to join others with, written with a mark, as Spark filters a join only by a side with a comparison."""
+    return cut_table(df.withColumn("_known", F.lit(1)))
+
+
+def _known(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
+    return rows.join(asked.where(F.col("_known") == 1).drop("_known"), key)
+
+
 def _fetch(texts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Rows (key, sig, ...) with the token set in place of the key."""
-    met = texts.select("key", "text").join(asked, "key").drop("key")
+    """Rows (key, sig, ...) with the token set in place of the key. Within ``runtime_filters``
+    only texts that are asked for are shuffled, but for the filter's false positives."""
+    met = _known(texts.select("key", "text"), asked, "key").drop("key")
     return met.mapInArrow(_with_sets(k), met.drop("text").withColumn("tokens", F.lit(None).cast("binary")).schema)
 
 
@@ -429,8 +441,13 @@ def _groups(docs: DataFrame, threshold: float, k: int, runs: int, bucket_sets: i
             break
         paths = level.join(large.select("bucket"), "bucket", "left_semi").groupBy("sig").agg(F.collect_list("bucket").alias("paths"))
         if sets is None:  # later levels have none but these
-            sets = cut(_fetch(texts, paths.select("sig").join(some.select("sig", "key"), "sig"), k))
-        again = sets.join(paths, "sig")
+            asked = _asked(paths.join(some.select("sig", "key"), "sig"))
+            with runtime_filters(spark, asked.count()):
+                again = sets = cut_table(_fetch(texts, asked, k))
+        else:  # of which only those with a path are shuffled
+            asked = _asked(paths)
+            with runtime_filters(spark, asked.count()):
+                again = cut(_known(sets.drop("paths"), asked, "sig"))
         level = cut(again.mapInArrow(_next_level(rate), "sig binary, parent long, bucket long").distinct())
         parents = large
     # Small buckets are parted where no pair can be linked; the sets of those that stayed large keep a list of them.
@@ -473,8 +490,10 @@ def _groups(docs: DataFrame, threshold: float, k: int, runs: int, bucket_sets: i
     work = work.withColumn("whole", F.col("root").isNotNull() & (F.col("blocks") == 1)).drop("other", "m", "blocks")
     # A set's places ride with its text, so that it is shuffled as a text and as tokens, once each.
     todo = work.groupBy("sig").agg(F.collect_list(F.struct("bucket", "root", "left", "right", "block", "leaves", "whole")).alias("todo"))
-    work = _fetch(texts, todo.join(some.select("sig", "key", "copies"), "sig"), k).select("sig", "copies", "tokens", F.inline("todo"))
-    found = cut_narrow(work.groupBy("bucket", "root", "left", "right").applyInArrow(_brute(exact), "sig binary, to binary, links long, whole boolean"))
+    asked = _asked(todo.join(some.select("sig", "key", "copies"), "sig"))
+    with runtime_filters(spark, asked.count()):
+        work = _fetch(texts, asked, k).select("sig", "copies", "tokens", F.inline("todo"))
+        found = cut_narrow(work.groupBy("bucket", "root", "left", "right").applyInArrow(_brute(exact), "sig binary, to binary, links long, whole boolean"))
     links = found.groupBy("sig").agg(F.sum("links").alias("links"))
     # A unit compared in one task is joined as a whole there; others are joined here.
     roots, apart = found.where("whole").select("sig", F.col("to").alias("root")), found.where("not whole")

@@ -200,6 +200,25 @@ def test_join_of_nulls_repeats_and_nothing(spark):
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(4, "p q r s t u"), (4, "v")] and kept.columns == docs(spark, []).columns
 
 
+def test_only_texts_that_are_asked_for_are_shuffled(spark, tmp_path):
+    texts = [f"text number {i} of the table" for i in range(500)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/d")
+    d = spark.read.parquet(f"{tmp_path}/d").select(jaccard_join._key("doc_id", "text").alias("key"), "doc_id", "text")
+    sigs = jaccard_join.signatures(*jaccard_join.token_sets(pa.array(texts), 5))
+    names = spark.createDataFrame([(i, bytearray(sigs[i])) for i in (3, 77, 401)], "doc_id long, sig binary")
+    asked = jaccard_join._asked(d.join(names, "doc_id").select("key", "sig"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with jaccard_join.runtime_filters(spark, asked.count()):
+            got = jaccard_join._fetch(d, asked, 5)
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            got = {bytes(r.sig) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "might_contain" in plan and got == {sigs[i] for i in (3, 77, 401)}
+
+
 def test_linked_pair_that_shares_few_buckets(spark):
     # 4 of 5 shingles in common; the pair shares two buckets in the first 16 runs.
     w = [f"{c}173798" for c in "abcdefghi"]
