@@ -60,6 +60,8 @@ from cohortlens.operators.runtime_filter import runtime_filters
 WORDS, THRESHOLD = 5, 0.8
 RUNS, MAX_DEPTH = 24, 3
 BUCKET_SETS, UNIT_SETS = 1500, 6000
+#: Pairs of sets that a task looks at together: its memory doesn't follow the square of a unit.
+HELD_PAIRS = 1 << 20
 #: Bins of a set's sketch.
 MIN_BINS, MAX_BINS = 64, 4096
 
@@ -224,7 +226,7 @@ def compare(sets: list[np.ndarray], weights: np.ndarray, seen: list[np.ndarray],
     with side 0 and one with side 1 are compared."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
-    links, joined_a, joined_b = np.zeros(m, np.int64), [], []
+    links = np.zeros(m, np.int64)
     owner = np.repeat(np.arange(m), sizes)
     value, of, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     # Candidates: sets that share one of the rarest tokens which a linked set can't all lack.
@@ -238,32 +240,34 @@ def compare(sets: list[np.ndarray], weights: np.ndarray, seen: list[np.ndarray],
     same = tok[1:] == tok[:-1] if len(tok) else np.zeros(0, bool)
     label = _components(m, who[:-1][same], who[1:][same]) if same.any() else np.arange(m)
     t, u = threshold.numerator, threshold.denominator
-    groups = np.argsort(label, kind="stable")
+    groups, joined = np.argsort(label, kind="stable"), np.arange(m)
     ends = np.flatnonzero(np.concatenate([np.diff(label[groups]) > 0, [True]])) + 1
     start = 0
     for end in ends:
         g, start = groups[start:end], end
         if len(g) < 2 or (side is not None and len(np.unique(side[g])) < 2):
             continue
-        inter = _overlaps([sets[i] for i in g])
-        both = sizes[g][:, None] + sizes[g][None, :]
-        alike = (u + t) * inter >= t * both  # inter / (both - inter) >= t / u
-        np.fill_diagonal(alike, False)
-        if side is not None:
-            alike &= side[g][:, None] != side[g][None, :]
-        a, b = np.nonzero(np.triu(alike))
-        joined_a.append(g[a])
-        joined_b.append(g[b])
-        alike &= _overlaps([seen[i] for i in g]) == 0
-        links[g] += alike @ weights[g]
-    a = np.concatenate(joined_a) if joined_a else np.zeros(0, np.int64)
-    b = np.concatenate(joined_b) if joined_b else np.zeros(0, np.int64)
-    return links, _components(m, a, b)
-
-
-def may_be_linked(n: np.ndarray, group: np.ndarray, sketches: list[bytes], threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
+        own = np.arange(len(g))
+        for (top, inter), (_, met) in zip(_overlaps([sets[i] for i in g]), _overlaps([seen[i] for i in g]), strict=True):
+            here = g[top : top + len(inter)]
+            both = sizes[here][:, None] + sizes[g][None, :]
+            alike = (u + t) * inter >= t * both  # inter / (both - inter) >= t / u
+            np.fill_diagonal(alike[:, top:], False)
+            if side is not None:
+                alike &= side[here][:, None] != side[g][None, :]
+            a, b = np.nonzero(alike)
+            up = a + top < b
+            own = _components(len(g), np.concatenate([a[up] + top, np.arange(len(g))]), np.concatenate([b[up], own]))
+            alike &= met == 0
+            links[here] += alike @ weights[g]
+        joined[g] = g[own]
+    return links, joined
+
+
+def may_be_linked(n: np.ndarray, group: np.ndarray, sketches: list[bytes], threshold: Fraction, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within a group that their sizes and sketches don't rule out. Rows are sorted by
-    group and size. No pair at the threshold is left out."""
+    group and size. No pair at the threshold is left out, but with ``label`` those that are
+    connected by pairs found before: it names what is connected, by the first row, and is brought up to date."""
     t, u = threshold.numerator, threshold.denominator
     rough = np.array([_counts(c).reshape(-1, MIN_BINS).sum(0) for c in sketches]).reshape(len(n), MIN_BINS)
     active, found_a, found_b, d = np.arange(len(n)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
@@ -274,18 +278,21 @@ def may_be_linked(n: np.ndarray, group: np.ndarray, sketches: list[bytes], thres
         active = active[(group[active] == group[other]) & (u * n[active] >= t * n[other])]  # holds for no larger d where it fails
         if not len(active):
             return np.concatenate(found_a), np.concatenate(found_b)
-        other = active + d
-        need = t * (n[active] + n[other])  # inter / (both - inter) >= t / u
-        pass_ = np.flatnonzero((u + t) * np.minimum(rough[active], rough[other]).sum(1) >= need)
+        ask = active if label is None else active[label[active] != label[active + d]]
+        other = ask + d
+        need = t * (n[ask] + n[other])  # inter / (both - inter) >= t / u
+        pass_ = np.flatnonzero((u + t) * np.minimum(rough[ask], rough[other]).sum(1) >= need)
         fine = []
         for i in pass_.tolist():
-            x, y = _counts(sketches[active[i]]), _counts(sketches[other[i]])
+            x, y = _counts(sketches[ask[i]]), _counts(sketches[other[i]])
             bins = min(len(x), len(y))
             both = np.minimum(x.reshape(-1, bins).sum(0), y.reshape(-1, bins).sum(0)).sum()
             if bins == MIN_BINS or (u + t) * both >= need[i]:
                 fine.append(i)
-        found_a.append(active[fine])
+        found_a.append(ask[fine])
         found_b.append(other[fine])
+        if label is not None and fine:
+            label[:] = _components(len(n), np.concatenate([np.arange(len(n)), ask[fine]]), np.concatenate([label, other[fine]]))
 
 
 def _part_buckets(threshold: Fraction):
@@ -293,12 +300,21 @@ def _part_buckets(threshold: Fraction):
     bucket in parts between which no pair can be linked, without sets that can be in none.
     ``to`` is the part's first set, ``m`` its number of sets."""
 
+    def pieces(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Whole buckets of about ``HELD_PAIRS`` pairs at a time."""
+        bucket = t.column("bucket").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        m = np.diff(first, append=t.num_rows)
+        at = first[np.flatnonzero(np.diff(np.cumsum(m * m) // HELD_PAIRS, prepend=-1))]
+        for lo, hi in zip(at, [*at[1:], t.num_rows], strict=True):
+            yield part(t.slice(lo, hi - lo))
+
     def part(t: pa.Table) -> pa.RecordBatch:
         bucket = t.column("bucket").to_numpy().astype(np.int64)
         sig = t.column("sig").to_pylist()
         n = t.column("n").to_numpy().astype(np.int64)
-        a, b = may_be_linked(n, bucket, t.column("sketch").to_pylist(), threshold)
-        label = _components(len(n), a, b)
+        label = np.arange(len(n))
+        may_be_linked(n, bucket, t.column("sketch").to_pylist(), threshold, label)
         size = np.bincount(label, minlength=len(n))
         out = np.flatnonzero(size[label] > 1)
         first = label[out]
@@ -316,20 +332,18 @@ def _part_buckets(threshold: Fraction):
             bucket = rows.column("bucket").to_numpy()
             whole = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0  # the last bucket may go on
             if whole:
-                yield part(rows.slice(0, whole))
+                yield from pieces(rows.slice(0, whole))
             left = rows.slice(whole)
         if left is not None and left.num_rows:
-            yield part(left)
+            yield from pieces(left)
 
     return run
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """All intersection sizes of a few sets, as products of slices of a 0-1 matrix."""
+def _overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """All intersection sizes of a few sets, as products of slices of a 0-1 matrix: (first row,
+    rows) for so many rows at a time that about ``HELD_PAIRS`` sizes are held."""
     m = len(sets)
-    out = np.zeros((m, m), np.float64)
-    if sum(map(len, sets)) == 0:
-        return out.astype(np.int64)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     _, of, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     keep = counts[of] > 1
@@ -339,12 +353,15 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(of, kind="stable")
     owner, of = owner[order], of[order]
     total = int(of[-1]) + 1 if len(of) else 0
-    for lo in range(0, total, width):
-        part = slice(np.searchsorted(of, lo), np.searchsorted(of, lo + width))
-        x = np.zeros((m, min(width, total - lo)), np.float32)
-        x[owner[part], of[part] - lo] = 1
-        out += x @ x.T
-    return np.rint(out).astype(np.int64)
+    rows = max(1, HELD_PAIRS // m)
+    for top in range(0, m, rows):
+        out = np.zeros((min(rows, m - top), m), np.float64)
+        for lo in range(0, total, width):
+            part = slice(np.searchsorted(of, lo), np.searchsorted(of, lo + width))
+            x = np.zeros((m, min(width, total - lo)), np.float32)
+            x[owner[part], of[part] - lo] = 1
+            out += x[top : top + rows] @ x.T
+        yield top, np.rint(out).astype(np.int64)
 
 
 def _brute(threshold: Fraction):
