@@ -61,11 +61,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_table(df: DataFrame) -> DataFrame:
+def cut_table(df: DataFrame, **options: str) -> DataFrame:
     """``cut`` by a Parquet table in the shared folder: a checkpoint's rows are neither
     columnar nor compressed, which many narrow rows pay for several times over."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -29,7 +29,7 @@ Long texts are cut into as many windows as they need. No rows: no rows. Columns
 the id and the text are not read.
 
 Scale. The texts are written once with their keys and shuffled once; the order is that of
-a narrow table. Counts and centres are sums over all tasks, tables of a fixed size (8 MB and
+a narrow table. The points are written once more, a batch a value, for the rounds. Counts and centres are sums over all tasks, tables of a fixed size (8 MB and
 256 KB), whole numbers and so the same however the rows are dealt. The driver holds these and
 the first key of each shard (16 MB for 1 TB of text). A task holds one shard at a time; a longer document makes its
 shard larger by itself only. Terms in more than half of a shard have a BM25 weight of
@@ -55,6 +55,8 @@ LENGTH, END_ID = 2048, 1
 SHARD_BYTES = 2 << 20
 K1, B = 1.2, 0.75
 CACHE_WORDS = 1_500_000
+#: Neighbours of a seed that are sorted before the others.
+NEAR = 16
 #: Text that is split into words at once: the processor's cache holds it.
 SLICE_BYTES = 1 << 19
 TOPICS, ROUNDS = 64, 8
@@ -215,18 +217,34 @@ class Index:
         self.idf = np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5)))
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
         self.score = tf * (K1 + 1) / (tf + norm[self.doc]) * self.idf[t]
-        order = np.argsort(self.doc, kind="stable")
+        # A term of one document scores for that document alone.
+        self.alone = np.bincount(self.doc, weights=np.where(df[t] == 1, self.score, 0), minlength=n)
+        use = np.flatnonzero((df > 1)[t] & (self.idf > 0)[t])
+        order = use[np.argsort(self.doc[use], kind="stable")]
         self.terms, self.of = t[order], np.searchsorted(self.doc[order], np.arange(n + 1))
         self.n = n
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of all documents for the distinct terms of one."""
         q = self.terms[self.of[doc] : self.of[doc + 1]]
-        q = q[self.idf[q] > 0]
         lo, size = self.ends[q], self.ends[q + 1] - self.ends[q]
         stop = np.cumsum(size)
         at = np.repeat(lo - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
-        return np.bincount(self.doc[at], weights=self.score[at], minlength=self.n)
+        out = np.bincount(self.doc[at], weights=self.score[at], minlength=self.n)
+        out[doc] += self.alone[doc]
+        return out
+
+
+def best_first(score: np.ndarray) -> Iterator[int]:
+    """The places of the scores, best first, ties in order. A window takes a few, so the
+    ``NEAR`` best are sorted first, and all only when these don't do."""
+    n, done = len(score), 0
+    if n > 4 * NEAR:
+        top = np.flatnonzero(score >= np.partition(score, n - NEAR)[n - NEAR])
+        yield from top[np.argsort(-score[top], kind="stable")].tolist()
+        done = len(top)
+    if done < n:
+        yield from np.argsort(-score, kind="stable")[done:].tolist()
 
 
 def fill(sizes: list[int], neighbours, length: int = LENGTH) -> list[tuple[int, int, int, int, int]]:
@@ -256,10 +274,10 @@ def fill(sizes: list[int], neighbours, length: int = LENGTH) -> list[tuple[int,
             continue
         seed, at = pieces[-1][0], window
         score = np.where(unused, neighbours(seed), -1.0)
-        for doc in np.argsort(-score, kind="stable"):
+        for doc in best_first(score):
             if score[doc] < 0 or window != at:
                 break
-            place(int(doc))
+            place(doc)
 
 
 def weights(counts: np.ndarray, n: int) -> np.ndarray:
@@ -302,11 +320,22 @@ def draws(texts: pa.Array, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """The centre of each point; products of whole numbers, exact as floats."""
-    return (points.astype(np.float32) @ centres.T.astype(np.float32)).argmax(1).astype(np.int32)
+    return (points.astype(np.float32, copy=False) @ centres.T.astype(np.float32)).argmax(1).astype(np.int32)
 
 
 def _points(batch: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("point").to_pylist()), np.int8).reshape(-1, DIMS)
+    col = batch.column("point").cast(pa.large_binary())
+    if not len(col):
+        return np.zeros((0, DIMS), np.int8)
+    offs = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.int8)[offs[0] : offs[-1]].reshape(-1, DIMS)
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The points of each batch as one value, so that many rounds don't handle them row by row."""
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([_points(batch).tobytes()], pa.binary())], names=["points"])
 
 
 def _rows(sums: np.ndarray) -> pa.RecordBatch:
@@ -341,17 +370,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows(counts.reshape(COUNT_BLOCKS, -1))
 
 
+def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of ``_counted``, and one more that starts with the bytes and the number of rows."""
+    held = np.zeros((1 << WEIGHT_BITS) // COUNT_BLOCKS, np.int64)
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held[:2] += [string_bytes(batch.column("text"))[1][-1] + 16 * batch.num_rows, batch.num_rows]
+            yield batch
+
+    yield from _counted(told())
+    yield pa.RecordBatch.from_arrays([pa.array([COUNT_BLOCKS], pa.int32()), pa.array([held.tobytes()], pa.binary())], names=["block", "sums"])
+
+
 def _moved(centres):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = centres.value
         sums = np.zeros(known.shape, np.int64)
-        for batch in batches:
-            points = _points(batch)
+        for points in (np.frombuffer(x.as_buffer(), np.int8).reshape(-1, DIMS) for batch in batches for x in batch.column("points")):
             for lo in range(0, len(points), 4096):
-                part = points[lo : lo + 4096]
+                part = points[lo : lo + 4096].astype(np.float32)
                 of = np.zeros((len(part), len(known)), np.float32)
                 of[np.arange(len(part)), nearest(part, known)] = 1
-                sums += np.rint(of.T @ part.astype(np.float32)).astype(np.int64)
+                sums += np.rint(of.T @ part).astype(np.int64)
         yield _rows(sums)
 
     return run
@@ -363,8 +404,9 @@ def fit_topics(points: DataFrame) -> np.ndarray:
     spark = points.sparkSession
     some = points.orderBy(F.xxhash64("row"), "row").limit(TOPICS).collect()
     centres = np.array([np.frombuffer(r.point, np.int8) for r in some]).reshape(-1, DIMS)
+    blocks = cut_table(points.select("point").mapInArrow(_blocked, "points binary"), compression="zstd")
     for _ in range(ROUNDS):
-        sums = _summed(points.select("point"), _moved(spark.sparkContext.broadcast(centres)))
+        sums = _summed(blocks, _moved(spark.sparkContext.broadcast(centres)))
         new = np.where(sums.any(1, keepdims=True), _whole(sums), centres)
         if (new == centres).all():
             break
@@ -377,8 +419,9 @@ def _keyed(weight):
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 points, first, second = draws(part.column("text"), weight.value)
-                keys = [pa.array([x.tobytes() for x in points], pa.binary()), pa.array(first), pa.array(second)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *keys], names=[*part.schema.names, "point", "first", "second"])
+                size = np.diff(string_bytes(part.column("text"))[1]) + 16
+                keys = [pa.array([x.tobytes() for x in points], pa.binary()), pa.array(first), pa.array(second), pa.array(size)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *keys], names=[*part.schema.names, "point", "first", "second", "bytes"])
 
     return run
 
@@ -430,17 +473,19 @@ def _dealt(centres, begins):
     return run
 
 
-def deal(d: DataFrame, total: int, count: int, shard_bytes: int) -> DataFrame:
+def deal(d: DataFrame, shard_bytes: int) -> DataFrame:
     """Adds ``shard`` to the rows (id, text, row)."""
     spark, kind = d.sparkSession, d.schema["id"].dataType.simpleString()
+    sums = _summed(d.select("text"), _sized)
+    total, count = sums[-1][:2].tolist() if len(sums) else (0, 0)  # no task: no rows
     if total <= shard_bytes:
         return d.withColumn("shard", F.lit(0).cast("long"))
-    counts = _summed(d.select("text"), _counted).reshape(-1)
-    weight = spark.sparkContext.broadcast(weights(counts, count))
-    keyed = cut_table(d.mapInArrow(_keyed(weight), f"id {kind}, text string, row long, point binary, first double, second double"))
+    weight = spark.sparkContext.broadcast(weights(sums[:-1].reshape(-1), count))
+    keyed = cut_table(d.mapInArrow(_keyed(weight), f"id {kind}, text string, row long, point binary, first double, second double, bytes long"))
     centres = spark.sparkContext.broadcast(fit_topics(keyed.select("row", "point")))
-    narrow = keyed.select("point", *KEY[1:], (F.octet_length("text") + 16).cast("long").alias("bytes"))
-    narrow = narrow.mapInArrow(_topics(centres), "topic int, first double, second double, row long, bytes long")
+    narrow = keyed.select("point", *KEY[1:], "bytes")
+    # Written, as Spark reads a table twice to deal it by range.
+    narrow = cut_table(narrow.mapInArrow(_topics(centres), "topic int, first double, second double, row long, bytes long"))
     narrow = narrow.repartitionByRange(max(1, -(-count // NARROW_ROWS)), *KEY).sortWithinPartitions(*KEY)
     narrow = cut(narrow.withColumn("part", F.spark_partition_id()))
     sizes = sorted(narrow.groupBy("part").agg(F.sum("bytes").alias("bytes"), F.max(F.struct(*KEY, "bytes")).alias("last")).collect())
@@ -452,22 +497,27 @@ def deal(d: DataFrame, total: int, count: int, shard_bytes: int) -> DataFrame:
     before = spark.sparkContext.broadcast(before)
     begins = narrow.mapInArrow(_begins(before, shard_bytes), "topic int, first double, second double, row long").collect()
     known = np.array(sorted(tuple(r[c] for c in KEY) for r in begins), dtype=[("topic", "i4"), ("first", "f8"), ("second", "f8"), ("row", "i8")])
-    return keyed.mapInArrow(_dealt(centres, spark.sparkContext.broadcast(known)), f"id {kind}, text string, row long, shard long")
+    return keyed.drop("bytes").mapInArrow(_dealt(centres, spark.sparkContext.broadcast(known)), f"id {kind}, text string, row long, shard long")
+
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
-_ENCODERS: dict[int, Encoder] = {}
+def encoder(source: str) -> Encoder:
+    """The worker's encoder, kept for its later tasks. A function that is sent to tasks must
+    ask here: globals that it names itself are sent along and are new in each task."""
+    if source not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[source] = Encoder(source)
+    return _ENCODERS[source]
 
 
 def _packer(source, id_type: pa.DataType, length: int):
     def run(t: pa.Table) -> pa.Table:
-        text = source.value
-        key = zlib.crc32(text.encode())
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(text)
         # An order that doesn't depend on how the rows arrived.
         t = t.sort_by("row")
         texts = t.column("text").combine_chunks()
-        ids, row, term, n_terms = _ENCODERS[key].ids(texts)
+        ids, row, term, n_terms = encoder(source.value).ids(texts)
         index = Index(len(ids), row, term, int(n_terms))
         got = fill([len(x) for x in ids], index.scores, length)
         shard = t.column("shard")[0].as_py()
@@ -500,8 +550,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, sh
     with open(tokenizer or tokenizer_file(), encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total, count = d.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)), F.count(F.lit(1))).first()
-    d = deal(d.withColumn("row", F.monotonically_increasing_id()), total, count, shard_bytes)
+    d = deal(d.withColumn("row", F.monotonically_increasing_id()), shard_bytes)
     kind = d.schema["id"].dataType
     schema = f"id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return d.groupBy("shard").applyInArrow(_packer(source, to_arrow_type(kind), length), schema).withColumnRenamed("id", id_col)

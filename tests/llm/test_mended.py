@@ -3,6 +3,7 @@
 import re
 import time
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -200,3 +201,40 @@ def test_broken_markup_takes_time_in_proportion(bit):
         return time.perf_counter() - start
 
     assert took(1_000_000) < 15
+
+
+# --- packing: what a worker keeps, and what a window takes first
+
+
+def test_the_encoder_outlives_the_task(monkeypatch):
+    import pyarrow as pa
+    from pyspark import cloudpickle
+
+    from cohortlens.llm import packing
+
+    class Sent:
+        value = Path(packing.tokenizer_file()).read_text(encoding="utf-8")
+
+    made = []
+    monkeypatch.setattr(packing.Encoder, "__init__", lambda self, source, f=packing.Encoder.__init__: made.append(1) or f(self, source))
+    monkeypatch.setattr(packing, "_ENCODERS", {})
+    sent = cloudpickle.dumps(packing._packer(Sent, pa.int64(), 2048))
+    t = pa.table({"id": pa.array([1, 2]), "text": ["to be or not", "to be"], "row": pa.array([0, 1]), "shard": pa.array([0, 0])})
+    first, second = (cloudpickle.loads(sent)(t) for _ in range(2))
+    assert first.equals(second) and len(made) == 1
+
+
+def test_a_table_without_partitions_packs_to_no_rows(spark):
+    from cohortlens.llm import packing
+
+    assert packing.pack(spark.createDataFrame(spark.sparkContext.emptyRDD(), DOC)).count() == 0
+
+
+def test_best_first_is_the_order_of_all():
+    from cohortlens.llm import packing
+
+    rng = np.random.default_rng(4)
+    for n in (1, 16, 64, 65, 300):
+        for kinds in (1, 3, 1000):
+            score = rng.integers(0, kinds, n).astype(float)
+            assert list(packing.best_first(score)) == np.argsort(-score, kind="stable").tolist()
